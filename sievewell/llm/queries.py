@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality_rules, url_filter
+from . import decontaminate, minhash, mixing, quality_rules, sharding, url_filter, warc
 from .common import table
 
 # Fixed values of the URL filter's query.
@@ -24,10 +25,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = mixing.copies(table(spark, sf_dir, "documents"))
+    return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
