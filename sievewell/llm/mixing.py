@@ -4,9 +4,9 @@ A source's target is its share of the words wanted, at most ``CAP`` times what i
 floor(r) times, r being target / size of its source, and once more with probability r - floor(r). These inclusion
 probabilities are rounded by the cube method: they move at random along the null-space of two constraints per source
 (words and documents taken), so both totals stay exactly on target until at most two documents of a source are still
-open. That flight runs in blocks of a source's documents, each leaving at most two documents open; what is left of
-many blocks is a block of the next round. The landing settles the last open documents: the first constraint to go is
-the number of documents, then each is rounded to the side that keeps the words nearer to the target.
+open. That flight runs in blocks of a source's documents, large ones first, each leaving at most two documents open;
+what is left of many blocks is a block of the next round. The landing settles the last open documents and a few of
+the smallest together, in the way that brings the words nearest to the target.
 
 Block membership and random numbers come from hashes of ids and of the round, so reruns agree.
 
@@ -31,6 +31,8 @@ SHARE, CAP = 1.5, 2.0
 BLOCK = 5_000
 #: What is left of a source is landed at once when it is not more.
 LANDING = 5_000
+#: Smallest documents of a source that the landing settles together with what a flight leaves open.
+LAST = 10
 EPS = 1e-9
 
 
@@ -92,30 +94,22 @@ def flight(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np.
 
 
 def landing(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np.ndarray:
-    """Settles the open units: pairs keep the words (no longer the number) on target; the last is rounded to the nearer side."""
-    p = flight(prob, size, rand)
-    hand: list[int] = []
-    drift = 0.0
-    for i in [int(i) for i in np.flatnonzero((p > EPS) & (p < 1 - EPS))]:
-        hand.append(i)
-        if len(hand) < 2:
-            continue
-        a, b = hand
-        if size[a] <= 0 or size[b] <= 0:
-            j = a if size[a] <= 0 else b
-            p[j] = float(rand.random() < p[j])
-            hand.remove(j)
-            continue
-        up = min((1 - p[a]) * size[a], p[b] * size[b])
-        down = min(p[a] * size[a], (1 - p[b]) * size[b])
-        move = up if rand.random() * (up + down) < down else -down
-        p[a], p[b] = p[a] + move / size[a], p[b] - move / size[b]
-        hand = [j for j in hand if EPS < p[j] < 1 - EPS]
-    for j in hand:
-        x = round(p[j] - drift) if size[j] else int(rand.random() < p[j])
-        x = min(1, max(0, x))
-        drift += x - p[j]
-        p[j] = x
+    """Settles all units: a flight over all but the LAST smallest open ones, then the landing problem of what is open.
+
+    The landing takes, of all ways to settle its few units, the one with the least error in words, and of equal ones
+    that with the least error in number.
+    """
+    p = prob.astype(float).copy()
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    open_ = open_[np.argsort(-size[open_], kind="stable")]
+    head, tail = open_[: max(0, len(open_) - LAST)], open_[max(0, len(open_) - LAST) :]
+    p[head] = flight(p[head], size[head], rand)
+    left = np.concatenate([head[(p[head] > EPS) & (p[head] < 1 - EPS)], tail]).astype(int)
+    if len(left):
+        ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+        words = np.abs((ways - p[left]) @ size[left])
+        number = np.abs((ways - p[left]).sum(axis=1))
+        p[left] = ways[np.lexsort((number, np.round(words, 6)))[0]]
     return np.round(p)
 
 
@@ -125,7 +119,7 @@ def _seeded(*key) -> np.random.Generator:
 
 def _settle(last: bool, round_no: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
         rand = _seeded(round_no, None if pd.isna(pdf.source_key.iloc[0]) else pdf.source_key.iloc[0], int(pdf.block.iloc[0]))
         p = (landing if last else flight)(pdf.prob.to_numpy(float), pdf["size"].to_numpy(float), rand)
         return pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id, "source_key": pdf.source_key, "size": pdf["size"], "order": pdf["order"], "prob": p})
