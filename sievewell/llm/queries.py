@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality_rules, sharding, url_filter, warc
-from .common import table
+from . import decontaminate, language, minhash, mixing, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
+from .common import doc_crc, table
 
 # Fixed values of the URL filter's query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -29,11 +29,28 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_crc(F.col("doc_id")) % 4 == 2
+    return language.identify(table(spark, sf_dir, "documents"), ~held_out, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_crc(F.col("doc_id")) % 5 == 0
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = mixing.copies(table(spark, sf_dir, "documents"))
     return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_crc(F.col("doc_id")) % 5 == 0
+    out = quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -47,7 +64,10 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
 }
