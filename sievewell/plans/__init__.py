@@ -1 +1 @@
-"""Plans of the engine."""
+"""Query plans: the SQL gate, guarded execution, and the question-answering engine."""

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .queries import graphs, retrieval, routing, surface, text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in (text, retrieval, surface, routing, graphs):
+    QUERIES |= _m.R.queries
+    ORACLE_SQL |= _m.R.sql
