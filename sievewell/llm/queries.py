@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language, minhash, mixing, quality_classifier, quality_rules, sharding, toxicity, url_filter, warc
 from .common import doc_crc, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 # Fixed values of the URL filter's query.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -72,4 +73,4 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
