@@ -2,8 +2,8 @@
 
 Terms are lower-cased words and, for longer words, their first four and five letters, hashed into DIM buckets. Inverse
 document frequencies are counted over all documents. Examples are a bounded sample of labelled documents (EXAMPLES,
-half of each class where possible). Terms are selected by their association with the label among them (chi-square),
-so that the cosine compares what matters; vectors are normalised over the selected terms.
+half of each class where possible). Terms are selected by their association with the label among them (chi-square and
+lift), so that the cosine compares what matters; vectors are normalised over the selected terms.
 
 The index holds, for each term and block of examples, the largest weight. A query adds these up to bounds for every
 block, scores blocks exactly in falling order of their bound, and stops when no bound reaches the k-th best score:
@@ -31,7 +31,7 @@ from .labelled import sample_labels, sampled
 
 DIM = 1 << 18
 EXAMPLES = 4000
-TERMS, LEAST_CHI = 4096, 15.0
+TERMS, LEAST_CHI, LEAST_LIFT = 4096, 15.0, 3.0
 NEIGHBOURS, BLOCK, DOUBT = 16, 64, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,7 +94,7 @@ class Index:
 
 
 def select_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets whose chi-square with the label is at least LEAST_CHI, the TERMS best ones; in rising order."""
+    """Buckets that are LEAST_LIFT times as frequent in examples of label 1, with a chi-square of LEAST_CHI at least; the TERMS best, in rising order."""
     a, b = np.zeros(DIM), np.zeros(DIM)
     for t, label in zip(found, y, strict=True):
         (a if label else b)[t] += 1
@@ -102,7 +102,7 @@ def select_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     n, seen = n1 + n0, a + b
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.nan_to_num(n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * seen * (n - seen)))
-    at = np.flatnonzero(chi >= LEAST_CHI)
+    at = np.flatnonzero((chi >= LEAST_CHI) & (a * n0 >= LEAST_LIFT * b * n1))
     return np.sort(at[np.argsort(-chi[at], kind="stable")][:TERMS])
 
 
@@ -166,6 +166,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_co
     return model
 
 
+class SelectedTerms(dict):
+    """Places among the selected terms by word; none for most words."""
+
+    def __init__(self, terms: np.ndarray):
+        super().__init__()
+        self.place, self.hashes = {int(t): i for i, t in enumerate(terms)}, TermHashes()
+
+    def __missing__(self, w: str) -> tuple[int, ...]:
+        if len(self) >= TermHashes.LIMIT:
+            self.clear()
+        p = self[w] = tuple(self.place[b] for b in self.hashes.__missing__(w) if b in self.place)
+        self.hashes.clear()
+        return p
+
+    def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of a text; the same as by term_counts and vector()."""
+        n: dict[int, int] = {}
+        for w in WORD.findall(text.lower()) if text else ():
+            for p in self[w]:
+                n[p] = n.get(p, 0) + 1
+        at = np.array(sorted(n), np.int64)
+        w = (1 + np.log(np.array([n[p] for p in at.tolist()]))) * idf[at] if n else np.zeros(0)
+        norm = float(np.sqrt((w * w).sum()))
+        return at, w / norm if norm else w
+
+
 def vector(counts: tuple[np.ndarray, np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """(selected terms, weights of norm 1)."""
     at, n = counts
@@ -179,6 +205,8 @@ def vector(counts: tuple[np.ndarray, np.ndarray], model: dict) -> tuple[np.ndarr
 
 
 def vote(index: Index, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    if not len(v[0]):
+        return 0.0, np.zeros(0, np.int64), np.zeros(0)
     at, cos = index.nearest(*v, NEIGHBOURS, without)
     return float((cos * index.labels[at]).sum() / (cos.sum() + DOUBT)), at, cos
 
@@ -196,8 +224,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
 
     def run(batches):
-        m, hashes = shared.value, TermHashes()
+        m = shared.value
         index = m["index"]
+        known = SelectedTerms(m["terms"]) if index is not None else None
         for batch in batches:
             out, why = [], []
             for t in batch.column(0).to_pylist():
@@ -205,7 +234,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
                     out.append(m["share"])
                     why.append([])
                     continue
-                v, at, cos = vote(index, vector(term_counts(t, hashes), m))
+                v, at, cos = vote(index, known.vector(t, m["idf"]))
                 a, b = m["curve"]
                 out.append(float(1 / (1 + np.exp(-(a * v + b)))))
                 why.append([{"doc_id": int(index.ids[i]), "cosine": float(c), "label": int(index.labels[i])} for i, c in zip(at, cos, strict=True)])
