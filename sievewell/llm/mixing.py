@@ -119,10 +119,10 @@ def _seeded(*key) -> np.random.Generator:
 
 def _settle(last: bool, round_no: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order", "doc_id"], ascending=[False, True, True], kind="stable")
-        rand = _seeded(round_no, None if pd.isna(pdf.source_key.iloc[0]) else pdf.source_key.iloc[0], int(pdf.block.iloc[0]))
+        pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
+        rand = _seeded(round_no, pdf.source_key.iloc[0], int(pdf.block.iloc[0]))
         p = (landing if last else flight)(pdf.prob.to_numpy(float), pdf["size"].to_numpy(float), rand)
-        return pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id, "source_key": pdf.source_key, "size": pdf["size"], "order": pdf["order"], "prob": p})
+        return pd.DataFrame({"row_id": pdf.row_id, "source_key": pdf.source_key, "size": pdf["size"], "order": pdf["order"], "prob": p})
 
     return run
 
@@ -147,8 +147,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
     order = F.xxhash64(F.col("doc_id"), F.col("size"))
     source_key = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce("source", F.lit("")))
-    still = rated.filter(part > EPS).select("row_id", "doc_id", source_key.alias("source_key"), "size", order.alias("order"), part.alias("prob"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    schema = "row_id bigint, doc_id bigint, source_key string, size bigint, order bigint, prob double"
+    still = rated.filter(part > EPS).select("row_id", source_key.alias("source_key"), "size", order.alias("order"), part.alias("prob"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    schema = "row_id bigint, source_key string, size bigint, order bigint, prob double"
     settled: list[DataFrame] = []
     largest, round_no = max([0, *(n for _, n in totals.values())]), 0
     while True:
