@@ -2,12 +2,15 @@
 
 1. Each document gets the set of its distinct five-word shingles (64-bit hashes), K minima, the low BITS of SKETCH of
    them packed into longs, and a key for each band of ROWS minima. Equal sets form a class, the node of all later steps.
-2. Documents that share a band key are candidates. A bucket is never expanded into pairs: its members are first
-   compared with one centre (a star). What stars leave apart is tried with other centres as long as many pairs
-   remain, and then as pairs between different components. So no bucket that is one component is ever expanded.
+2. Documents that share a band key are candidates. A bucket is not expanded into pairs: its members are first
+   compared with one centre (a star), and the links found give components. Buckets that are one component then are
+   done. Of the others only pairs between different components matter. Where these are few a document, they are
+   joined, the estimate of step 3 being part of the join. Where they are many (large groups of half similar texts),
+   the documents that share buckets form clusters, and those outside a cluster's main component are compared with its
+   members block against block, each task holding two blocks of bounded size and sending on confirmed links only.
 3. A candidate pair is dropped only if its similarity estimated by bit counts (corrected for the chance of equal low
-   bits) is 6 standard errors under the threshold. All others are confirmed on the full sets, which are made
-   again from the whole texts beside the centre's, hot centres being salted.
+   bits) is SIGMAS standard errors under the threshold. All others are confirmed on the full sets, which are made
+   again from whole texts, those of the candidates only, beside the centre's, hot centres being salted.
 4. Confirmed links give connected components, and each component keeps its smallest doc_id.
 
 A pair of similarity 0.75 shares none of the BANDS keys with probability (1 - 0.75**5)**60, under 1e-7.
@@ -38,8 +41,12 @@ BITS, SKETCH = 2, 256
 PERCENT = 75
 #: Centre's rows are copied once for so many members.
 MEMBERS_A_SALT = 1000
-#: Stars go on while over so many pairs a document remain, for so many rounds at most.
-PAIRS_A_DOC, STAR_ROUNDS = 2, 6
+#: Standard errors of the estimate under the threshold at which a pair is dropped: under 4e-6 of links at the threshold.
+SIGMAS = 4.5
+#: Up to so many pairs of different components a document are joined; more are compared by blocks.
+PAIRS_A_DOC = 50
+#: Documents and shingles in a block.
+BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000
 #: Links up to this number (24 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LINKS = 1_000_000
 
@@ -141,24 +148,96 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def least_estimate(percent: int = PERCENT) -> float:
-    """6 standard errors under the threshold."""
+    """SIGMAS standard errors under the threshold."""
     s, chance = percent / 100, 2.0**-BITS
     match = s + (1 - s) * chance
-    return s - 6 * (match * (1 - match) / SKETCH) ** 0.5 / (1 - chance)
+    return s - SIGMAS * (match * (1 - match) / SKETCH) ** 0.5 / (1 - chance)
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), those whose estimated similarity may reach the threshold."""
-    one = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    two = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").filter(estimate(F.col("sa"), F.col("sb")) >= least_estimate(percent)).select("a", "b")
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """estimate() of one sketch (longs) with each row of others."""
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    if BITS == 2:
+        x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    chance = 2.0**-BITS
+    return ((1 - np.bitwise_count(x).sum(axis=1) / SKETCH) - chance) / (1 - chance)
+
+
+def compare_blocks(rest: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different components of rest (key, node, root, sig), found block against block; see the module."""
+    low = rest.groupBy("key").agg(F.min("node").alias("lo"))
+    shared = rest.select("key", "node").join(low, "key").filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    cluster = connected_components(shared).withColumnRenamed("id", "node").withColumnRenamed("root", "cluster")
+    nodes = rest.select("node", "root", "sig", "n").distinct().join(cluster, "node")
+    roots = nodes.groupBy("cluster", "root").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    main = roots.groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.max("n").alias("most"))
+    size = F.greatest(F.lit(64), F.least(F.lit(BLOCK_DOCS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("most"))))
+    plan = main.select("cluster", F.col("main.root").alias("main"), F.ceil(F.col("m") / size).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("main.m")) / size).cast("int").alias("far_blocks"))
+    placed = nodes.join(plan, "cluster").join(keys, "node")
+    placed, path = materialize(placed.select("node", "root", "sig", "cluster", "text_hash", "doc_id", "blocks", "far_blocks", (F.col("root") == F.col("main")).alias("in_main")), "clusters")
+    if placed.count() <= BROADCAST_LINKS // 4:
+        placed = F.broadcast(placed)
+    rows = _rows_of(placed, docs, id_col, text_col)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ("cluster", "node", "root", "sig", "in_main", "text")
+    far = rows.filter("not in_main").select(*cols, block("far_blocks").alias("f"), every("blocks").alias("m"), F.lit(0).alias("role"))
+    near = rows.filter("far_blocks > 0").select(*cols, every("far_blocks").alias("f"), block("blocks").alias("m"), F.lit(1).alias("role"))
+    dealt = far.unionByName(near).repartition("cluster", "f", "m").sortWithinPartitions("cluster", "f", "m", "role", "node")
+    least = least_estimate(percent)
+
+    def compare(batches):
+        hashes = WordHashes()
+        at: tuple | None = None
+        held: list[tuple] = []
+        sigs = np.zeros((0, SKETCH * BITS // 64), np.int64)
+        linked: set[tuple[int, int]] = set()
+        for batch in batches:
+            a, b = [], []
+            names = batch.schema.names
+            col = {n: batch.column(names.index(n)).to_pylist() for n in names if n != "text"}
+            for i, t in enumerate(texts(batch, "text")):
+                key, node, root = (col["cluster"][i], col["f"][i], col["m"][i]), col["node"][i], col["root"][i]
+                if key != at:
+                    at, held, linked, sigs = key, [], set(), sigs[:0]
+                if col["role"][i] == 0:
+                    held.append((node, root, shingles(t, hashes), col["sig"][i]))
+                    continue
+                if len(sigs) != len(held):
+                    sigs = np.array([h[3] for h in held], np.int64)
+                if not held:
+                    continue
+                est = estimates(np.array(col["sig"][i], np.int64), sigs)
+                mine = None
+                for k in np.flatnonzero(est >= least)[np.argsort(-est[est >= least], kind="stable")].tolist():
+                    other, its, grams, _ = held[k]
+                    if its == root or (not col["in_main"][i] and node <= other) or (other, root) in linked or (its, root) in linked:
+                        continue
+                    mine = shingles(t, hashes) if mine is None else mine
+                    if similar(grams, mine, percent):
+                        linked.add((other, root))
+                        linked.add((its, root))
+                        a.append(other)
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links, _ = materialize(dealt.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    remove(docs.sparkSession, path)
+    return links
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int = PERCENT) -> DataFrame:
+def _rows_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """nodes, which name a row each by text_hash and doc_id, with that row's text."""
+    t = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
+    return t.join(nodes, (F.col("row_hash") == F.col("text_hash")) & F.col("row_id").eqNullSafe(F.col("doc_id")))
+
+
+def confirm(pairs: DataFrame, keys: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Of candidates (a: centre, b: member), those whose full sets are similar enough.
 
-    Every text is read once more and goes beside the centres that it belongs to: one shuffle of the candidates'
-    texts. In a task the rows are sorted by centre, the centre's set first, and stream past it.
+    ``keys`` names a row of docs (doc_id, text_hash) for each node. These rows' texts, and no others, are shuffled,
+    beside the centres that they belong to. In a task the rows are sorted by centre, the centre's set first, and
+    stream past it.
     """
     spark = docs.sparkSession
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
@@ -166,27 +245,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int = PER
     salted = pairs.join(sizes.select("a", salts.alias("salts")), "a")
     members = salted.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("is_member"))
     centres = sizes.select(F.col("a").alias("node"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("is_member"))
-    sides, path = materialize(members.unionByName(centres), "sides")
+    sides, path = materialize(members.unionByName(centres).join(keys, "node"), "sides")
     if sides.count() <= BROADCAST_LINKS:
         sides = F.broadcast(sides)
 
-    def name(batches):
-        hashes = WordHashes()
-        seen: set[int] = set()
-        for batch in batches:
-            nodes, out = [], []
-            for t in texts(batch, "text"):
-                g = shingles(t, hashes)
-                node = class_of(g) if len(g) else None
-                if node is None or node in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(node)
-                nodes.append(node)
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "text"])
-
     def compare(batches):
         hashes = WordHashes()
         centre, grams = None, None
@@ -201,10 +263,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int = PER
                     b.append(m)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    named = docs.select(F.col(text_col).alias("text")).mapInArrow(name, "node bigint, text binary")
-    rows = named.join(sides, "node").select("centre", "node", "is_member", "text", "salt")
+    rows = _rows_of(sides, docs, id_col, text_col).select("centre", "node", "is_member", "text", "salt")
     rows = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "is_member")
-    links, kept_path = materialize(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
+    links, _ = materialize(rows.mapInArrow(compare, "a bigint, b bigint").distinct(), "links")
     remove(spark, path)
     return links
 
@@ -218,41 +279,34 @@ def _judge(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     """(id, text_hash, n_shingles, component_id, kept, root) for every row of docs; root is null for wordless texts."""
     signed, _ = materialize(signatures(docs, id_col, text_col), "signatures")
     first = signed.filter(F.col("bands").isNotNull())
-    sigs = first.select("node", "sig").distinct()
+    row = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("r"))
+    keys, _ = materialize(row.select("node", "r.text_hash", "r.doc_id"), "keys")
+    sigs = first.select("node", "sig", F.col("n_shingles").alias("n")).distinct()
     entries = first.select("node", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    multi, _ = materialize(entries.join(shared, "key").select("key", "node", "lo").distinct(), "buckets")
-    spark = docs.sparkSession
+    multi, _ = materialize(entries.join(shared, "key").select("key", "node", "lo").distinct().join(sigs, "node"), "buckets")
     n_docs = signed.count()
-
-    stars = multi.filter("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirm(_likely(stars, sigs, percent), docs, text_col, percent)
-    rounds = 0
-    while True:
-        roots, _ = materialize(connected_components(links), "roots")
-        placed = multi.select("key", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-        apart = sizes.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("roots")).filter("roots > 1")
-        rest, path = materialize(placed.join(apart.select("key"), "key"), "apart")
-        pairs = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        rounds += 1
-        if not pairs:
-            break
-        last = pairs <= PAIRS_A_DOC * max(n_docs, 1000) or rounds > STAR_ROUNDS
-        if last:  # every pair of different components that shares a bucket
-            other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            tried = rest.select("key", F.col("node").alias("a"), "root").join(other, "key").filter("a < b and root <> root_b").select("a", "b").distinct()
-        else:  # another centre for each bucket
-            centre = rest.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("root", F.lit(rounds))).alias("c"))
-            tried = rest.join(centre, "key").filter("root <> c.root").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = confirm(_likely(tried, sigs, percent), docs, text_col, percent)
-        grown = links.unionByName(found)
-        remove(spark, path)
-        if last:
-            if found.limit(1).count():
-                roots, _ = materialize(connected_components(grown), "roots")
-            break
-        links = grown
+    likely = lambda a, b: estimate(F.col(a), F.col(b)) >= least_estimate(percent)
+
+    centres = multi.filter("node = lo").select("key", F.col("sig").alias("centre_sig"))
+    stars = multi.filter("node <> lo").join(centres, "key").filter(likely("sig", "centre_sig")).select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirm(stars, keys, docs, id_col, text_col, percent)
+    roots, _ = materialize(connected_components(links), "roots")
+    placed = multi.drop("lo").join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+    apart = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count("*").alias("roots")).filter("roots > 1")
+    apart, _ = materialize(apart, "apart")
+    pairs = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+    if pairs:
+        rest, _ = materialize(placed.join(apart.select("key"), "key"), "rest")
+        if pairs <= PAIRS_A_DOC * max(n_docs, 1000):
+            other = rest.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
+            tried = rest.select("key", F.col("node").alias("a"), "root", "sig").join(other, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & likely("sig", "sig_b"))
+            found = confirm(tried.select("a", "b").distinct(), keys, docs, id_col, text_col, percent)
+        else:
+            found = compare_blocks(rest, keys, docs, id_col, text_col, percent)
+        if found.limit(1).count():
+            roots, _ = materialize(connected_components(links.unionByName(found)), "roots")
 
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     members = classes.join(roots.withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
