@@ -111,14 +111,15 @@ def greedy_modularity(edges: list[tuple], resolution: float = 1.0) -> list[list]
 
 
 def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
-    """(id, community) for large graphs: nodes take their neighbours' most frequent label (least of equals), some rounds."""
+    """(id, community) for large graphs: nodes take the most frequent label (least of equals) of their neighbours and their own, some rounds."""
     ensure_checkpoint_dir(edges)
     both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")).checkpoint()
+    near = both.unionByName(labels.select(F.col("id").alias("a"), F.col("id").alias("b")))
     for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
+        votes = near.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("v"))
-        new = labels.join(best, labels.id == best.a).select("id", F.least("community", F.col("v.community")).alias("community")).checkpoint()
+        new = labels.join(best, labels.id == best.a).select("id", F.col("v.community").alias("community")).checkpoint()
         moved = new.join(labels.withColumnRenamed("community", "was"), "id").filter("community <> was").limit(1).count()
         labels = new
         if not moved:

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import Settings
 from ..functions.text import tokens
@@ -53,6 +54,7 @@ def vector_top_k_batch(vectors: DataFrame, questions: DataFrame, k: int, id_col:
             blocks.append([])
         blocks[-1].append((r.qid, r.embedding))
     qkind = questions.schema["qid"].dataType.simpleString()
+    arrow = pa.schema([("qid", to_arrow_type(questions.schema["qid"].dataType)), ("id", to_arrow_type(vectors.schema[id_col].dataType)), ("score", pa.float64())])
     parts = []
     for block in blocks:
         if not block:
@@ -79,7 +81,7 @@ def vector_top_k_batch(vectors: DataFrame, questions: DataFrame, k: int, id_col:
                     at = np.flatnonzero(row >= row[at].min())  # with all ties
                     best[i] = sorted([*best[i], *((-row[j], ids[j]) for j in at)])[:k]
             rows = [(qids[i], x, -s) for i, found in enumerate(best) for s, x in found]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["qid", "id", "score"]), preserve_index=False) if rows else pa.RecordBatch.from_pydict({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
         parts.append(vectors.select(id_col, F.col(vec_col).cast("array<double>")).mapInArrow(run, f"qid {qkind}, id {kind}, score double"))
     if not parts:

@@ -33,6 +33,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, settings: Settings, factory: Factory, corpus: store.Corpus, log_path: str | None = None, graphs: store.GraphStore | None = None, tables: list[str] | None = None, prices=PRICES, scorer=None):
         self.spark, self.settings, self.factory, self.corpus = spark, settings, factory, corpus
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see session.CONF
         self.log_path, self.graphs, self.tables, self.scorer = log_path, graphs, tables, scorer
         self.prices = price_table(spark, prices)
 

@@ -31,6 +31,10 @@ class UnsafeSQL(ValueError):
     """The statement is not a single read-only query."""
 
 
+class UnparsedSQL(UnsafeSQL):
+    """The text is no statement at all; another part of the reply may be."""
+
+
 @dataclass
 class Execution:
     """The outcome of a statement: rows, or an error; never an exception."""
@@ -121,18 +125,21 @@ def check(spark: SparkSession, sql: str) -> None:
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
-        raise UnsafeSQL(f"it can't be parsed: {str(e).splitlines()[0][:200]}") from None
+        raise UnparsedSQL(f"it can't be parsed: {str(e).splitlines()[0][:200]}") from None
     _check_plan(plan)
 
 
 def safe_select(spark: SparkSession, reply: str) -> str:
-    """The first read-only query of a reply. The row limit is put around it when it runs, so a LIMIT inside stays as it is."""
+    """The first statement of a reply that can be parsed, if it only reads.
+
+    The row limit is put around it when it runs, so a LIMIT inside stays as it is.
+    """
     last: UnsafeSQL | None = None
     for sql in candidates(reply):
         try:
             check(spark, sql)
             return sql
-        except UnsafeSQL as e:
+        except UnparsedSQL as e:
             last = last or e
     raise last or UnsafeSQL("no SELECT in the reply")
 
@@ -156,7 +163,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
     def of(plan) -> int:
         kids = list(_items(plan.children()))
-        return sum(of(k) for k in kids) if kids else int(plan.stats().sizeInBytes().toString())
+        return sum(of(k) for k in kids) if kids else int(str(plan.stats().sizeInBytes()))
 
     return of(df._jdf.queryExecution().optimizedPlan())
 

@@ -31,7 +31,7 @@ def read_directory(spark: SparkSession, folder: str, suffixes: tuple[str, ...] =
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     kept = files.filter(suffix.isin(*suffixes)).select("path", suffix.alias("suffix"), "content")
     pdf = F.udf(_pdf_text, "string")(F.col("content").cast(BinaryType()))
-    text = F.when(F.col("suffix") == ".pdf", pdf).otherwise(F.decode("content", F.lit("UTF-8"))) if ".pdf" in suffixes else F.decode("content", F.lit("UTF-8"))
+    text = F.when(F.col("suffix") == ".pdf", pdf).otherwise(F.decode("content", "UTF-8")) if ".pdf" in suffixes else F.decode("content", "UTF-8")
     base = folder.rstrip("/").rpartition("/")[2]
     relative = F.regexp_replace(F.col("path"), f"^.*/{base}/", "")
     return kept.select(relative.alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), strip(text).alias("text")).filter("text <> ''").orderBy("path")
