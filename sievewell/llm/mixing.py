@@ -5,8 +5,8 @@ floor(r) times, r being target / size of its source, and once more with probabil
 probabilities are rounded by the cube method: they move at random along the null-space of two constraints per source
 (words and documents taken), so both totals stay exactly on target until at most two documents of a source are still
 open. That flight runs in blocks of a source's documents, large ones first, each leaving at most two documents open;
-what is left of many blocks is a block of the next round. The landing settles the last open documents and a few of
-the smallest together, in the way that brings the words nearest to the target.
+what is left of many blocks is a block of the next round. The landing settles the last open documents and a few others
+together, in the way that brings the words nearest to the target.
 
 Block membership and random numbers come from hashes of ids and of the round, so reruns agree.
 
@@ -31,8 +31,8 @@ SHARE, CAP = 1.5, 2.0
 BLOCK = 5_000
 #: What is left of a source is landed at once when it is not more.
 LANDING = 5_000
-#: Smallest documents of a source that the landing settles together with what a flight leaves open.
-LAST = 10
+#: Documents of a source, of all sizes, that the landing settles together with what a flight leaves open.
+LAST = 11
 EPS = 1e-9
 
 
@@ -94,7 +94,7 @@ def flight(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np.
 
 
 def landing(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np.ndarray:
-    """Settles all units: a flight over all but the LAST smallest open ones, then the landing problem of what is open.
+    """Settles all units: a flight over all but LAST open ones of all sizes, then the landing problem of what is open.
 
     The landing takes, of all ways to settle its few units, the one with the least error in words, and of equal ones
     that with the least error in number.
@@ -102,7 +102,8 @@ def landing(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np
     p = prob.astype(float).copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     open_ = open_[np.argsort(-size[open_], kind="stable")]
-    head, tail = open_[: max(0, len(open_) - LAST)], open_[max(0, len(open_) - LAST) :]
+    spread = np.unique(np.linspace(0, len(open_) - 1, LAST).astype(int)) if len(open_) else np.zeros(0, int)
+    head, tail = np.delete(open_, spread), open_[spread]
     p[head] = flight(p[head], size[head], rand)
     left = np.concatenate([head[(p[head] > EPS) & (p[head] < 1 - EPS)], tail]).astype(int)
     if len(left):
