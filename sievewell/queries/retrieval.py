@@ -17,7 +17,7 @@ _VEC = f"""vec AS (SELECT * FROM (SELECT q.qid, b.vec_id AS id, {_COS} AS score,
   FROM ({_ASKED}) q JOIN embeddings a ON a.vec_id = q.qid CROSS JOIN embeddings b) WHERE rank <= 20)"""
 _KEY = rf"""terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS term FROM ({_ASKED})),
 toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM documents),
-scored AS (SELECT qid, doc_id AS id, round(count(*) * 0.1, 6) AS score FROM toks JOIN terms USING (term) GROUP BY qid, doc_id),
+scored AS (SELECT qid, doc_id AS id, round(count(*) * CAST(0.1 AS DOUBLE), 6) AS score FROM toks JOIN terms USING (term) GROUP BY qid, doc_id),
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 20)"""
 _RRF = f"""WITH {_VEC}, {_KEY},
 legs AS (SELECT qid, id, rank, 0 AS leg FROM vec UNION ALL SELECT qid, id, rank, 1 FROM kw),

@@ -61,8 +61,9 @@ add("sql_string_agg", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (OR
 add("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 add("sql_cube", "SELECT p_brand, p_size % 5 AS s, count(*) AS n FROM part GROUP BY CUBE (p_brand, p_size % 5)")
 add("sql_grouping_sets", "SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())")
-add("sql_rank", """
-SELECT * FROM (SELECT c_nationkey, c_custkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)) t WHERE rn <= 3""")
+_RANK = """
+SELECT * FROM (SELECT c_nationkey, c_custkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w AS INTEGER) AS rk, CAST(dense_rank() OVER w AS INTEGER) AS dr, CAST(ntile(4) OVER w AS INTEGER) AS nt FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)) t WHERE rn <= 3"""
+add("sql_rank", _RANK)
 add("sql_frame", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders")
 add("sql_lag_lead", "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events")
 add("sql_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -79,13 +80,13 @@ add("sql_derived_cte", "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM
 add("sql_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
 add(
     "sql_string",
-    "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 3, 5) AS part, replace(c_name, '0', 'o') AS rep, instr(c_name, '#') AS at, length(c_name) AS len, trim('  x ') || '-' || c_mktsegment AS cat, regexp_replace(c_name, '[0-9]+', 'N') AS digits, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded FROM customer",
-    "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 3, 5) AS part, replace(c_name, '0', 'o') AS rep, instr(c_name, '#') AS at, length(c_name) AS len, trim('  x ') || '-' || c_mktsegment AS cat, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS digits, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS padded FROM customer",
+    "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 3, 5) AS part, replace(c_name, '0', 'o') AS rep, CAST(instr(c_name, '#') AS INTEGER) AS at, CAST(length(c_name) AS INTEGER) AS len, trim('  x ') || '-' || c_mktsegment AS cat, regexp_replace(c_name, '[0-9]+', 'N') AS digits, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded FROM customer",
+    "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 3, 5) AS part, replace(c_name, '0', 'o') AS rep, CAST(instr(c_name, '#') AS INTEGER) AS at, CAST(length(c_name) AS INTEGER) AS len, trim('  x ') || '-' || c_mktsegment AS cat, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS digits, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS padded FROM customer",
 )
 add(
     "sql_date",
     "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_format(date_trunc('MONTH', o_orderdate), 'yyyy-MM-dd') AS first, date_format(o_orderdate + INTERVAL 3 DAYS, 'yyyy-MM-dd') AS later, datediff(DATE'2000-01-01', CAST(o_orderdate AS DATE)) AS days, quarter(o_orderdate) AS q FROM orders",
-    "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS later, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS days, quarter(o_orderdate) AS q FROM orders",
+    "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS first, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') AS later, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS INTEGER) AS days, CAST(quarter(o_orderdate) AS INTEGER) AS q FROM orders",
 )
 add(
     "sql_math",
@@ -95,7 +96,7 @@ add(
 add(
     "sql_array",
     "SELECT vec_id, size(embedding) AS n, round(aggregate(embedding, 0D, (s, x) -> s + CAST(x AS DOUBLE)), 4) AS total, round(array_max(embedding), 4) AS high, size(filter(embedding, x -> x > 0)) AS positive FROM embeddings",
-    "SELECT vec_id, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, round(list_max(embedding), 4) AS high, len([x FOR x IN embedding IF x > 0]) AS positive FROM embeddings",
+    "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, round(list_max(embedding), 4) AS high, CAST(len([x FOR x IN embedding IF x > 0]) AS INTEGER) AS positive FROM embeddings",
 )
 add("sql_unnest", "SELECT vec_id, pos + 1 AS place, round(CAST(x AS DOUBLE), 5) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 3)) t AS pos, x", "SELECT vec_id, CAST(unnest(range(1, 4)) AS INTEGER) AS place, round(CAST(unnest(embedding[1:3]) AS DOUBLE), 5) AS x FROM embeddings")
 add("sql_json", "SELECT event_id, get_json_object(props, '$.page') AS page, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events")
