@@ -47,7 +47,7 @@ SIGMAS = 4.5
 PAIRS_A_DOC = 50
 #: Documents and shingles in a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 2_000_000
-#: Links up to this number (24 bytes each) are broadcast to the documents; more are joined by a shuffle.
+#: Links, and rows to keep, up to this number (24 bytes each) are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LINKS = 1_000_000
 
 _RNG = np.random.default_rng(20240501)
@@ -328,6 +328,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = worded.groupBy("root").agg(F.min(order).alias("best")).select("best.id", "best.hash", F.lit(True).alias("one"))
     empty = judged.filter("root is null").select(F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), F.lit(False).alias("one")).distinct()
     chosen = best.unionByName(empty).select(F.col("id").alias("__sw_id"), F.col("hash").alias("__sw_hash"), F.col("one").alias("__sw_one"))
+    chosen, _ = materialize(chosen, "chosen")
+    if chosen.count() <= BROADCAST_LINKS:
+        chosen = F.broadcast(chosen)
     keyed = docs.withColumn("__sw_text_hash", F.xxhash64(text_col))
     here = keyed.join(chosen, F.col(id_col).eqNullSafe(F.col("__sw_id")) & (F.col("__sw_text_hash") == F.col("__sw_hash")))
     again = worded.join(best, F.col(id_col).eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).groupBy(id_col, "text_hash").agg(F.count("*").alias("n")).filter("n > 1").count()

@@ -33,6 +33,8 @@ BLOCK = 5_000
 LANDING = 5_000
 #: Documents of a source, of all sizes, that the landing settles together with what a flight leaves open.
 LAST = 11
+#: Up to so many rows' copies (40 bytes each) are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 EPS = 1e-9
 
 
@@ -183,7 +185,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     by_key, _ = materialize(by_key, "copies")
     keyed = docs.withColumn("__sw_n", size)
     on = F.col(id_col).eqNullSafe(F.col("__sw_id")) & F.col(source_col).eqNullSafe(F.col("__sw_source")) & (F.col("__sw_n") == F.col("__sw_size"))
-    single = keyed.join(by_key.filter("__sw_rows = 1 and __sw_copies > 0"), on).withColumn("__sw_take", F.col("__sw_copies"))
+    once = by_key.filter("__sw_rows = 1 and __sw_copies > 0")
+    if once.count() <= BROADCAST_ROWS:
+        once = F.broadcast(once)
+    single = keyed.join(once, on).withColumn("__sw_take", F.col("__sw_copies"))
     out = single
     if by_key.filter("__sw_rows > 1").limit(1).count():
         again = keyed.join(by_key.filter("__sw_rows > 1"), on)
