@@ -104,7 +104,7 @@ def landing(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np
     p = prob.astype(float).copy()
     open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
     open_ = open_[np.argsort(-size[open_], kind="stable")]
-    spread = np.unique(np.linspace(0, len(open_) - 1, LAST).astype(int)) if len(open_) else np.zeros(0, int)
+    spread = np.unique(np.geomspace(1, len(open_), LAST).astype(int)) - 1 if len(open_) else np.zeros(0, int)
     head, tail = np.delete(open_, spread), open_[spread]
     p[head] = flight(p[head], size[head], rand)
     left = np.concatenate([head[(p[head] > EPS) & (p[head] < 1 - EPS)], tail]).astype(int)
