@@ -1,19 +1,22 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine with block-max inverted indexes.
+"""Toxicity by nearest labelled examples: exact cosine over all terms, by inverted lists and a dense part.
 
 Terms are lower-cased words and, for longer words, their first four and five letters, hashed into DIM buckets. Inverse
 document frequencies are counted over all documents. Examples are a bounded sample of labelled documents (EXAMPLES,
-half of each class where possible). Terms are selected by their association with the label among them (chi-square and
-lift), so that the cosine compares what matters; vectors are normalised over the selected terms.
+half of each class where possible). Every term of a text and of an example counts: its weight is (1 + log count) x
+inverse document frequency, times 1 for terms associated with label 1 among the examples (chi-square and lift) and
+OTHERS for the rest, so that the cosine weighs most what matters and still finds a copy of any example. Vectors are
+normalised over all terms.
 
-The index holds, for each term and block of examples, the largest weight. A query adds these up to bounds for every
-block, scores blocks exactly in falling order of their bound, and stops when no bound reaches the k-th best score:
+The index holds the commonest terms of the examples as a dense matrix and the others as lists. Every example's cosine
+is computed for every text, by a product of matrices for a block of texts and by adding up lists; nothing is skipped, so
 the K nearest are exact. Votes are weighted by cosine against a fixed weight of doubt; the vote is calibrated by a
 logistic curve fitted on the examples, each scored without itself, weighted to the classes' true sizes. Evidence is
 the ids of the nearest examples with their cosines and labels.
 
-Nulls and odd inputs: a null, empty or term-free text has no neighbours and gets the calibrated score of no evidence.
+Nulls and odd inputs: a null, empty or term-free text, or one that shares no term with an example, has no neighbours
+and gets the calibrated score of no evidence.
 Without labels of both classes every score is the share of toxic labels (0 without any). Repeated documents get a row
-each; empty tables give empty results. Ties between examples go to the smaller id.
+each; empty tables give empty results. Ties between examples (cosines equal to 12 digits) go to the smaller id.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ from .labelled import sample_labels, sampled
 DIM = 1 << 18
 EXAMPLES = 4000
 TERMS, LEAST_CHI, LEAST_LIFT = 4096, 15.0, 3.0
-NEIGHBOURS, BLOCK, DOUBT = 16, 64, 0.5
+#: Weight of terms that are not associated with the label; no term has weight 0.
+OTHERS = 0.2
+NEIGHBOURS, DOUBT = 16, 0.5
+#: Terms held as a dense matrix, and texts scored at once. Neither changes a result.
+DENSE, BLOCK = 1024, 128
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,38 +66,47 @@ class Index:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.ids, self.labels = ids, labels
-        blocks = max(1, -(-len(ids) // BLOCK))
-        ex = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
+        ex = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((ex, term))
-        self.ex, term, self.weight = ex[order], term[order], weight[order]
-        self.start = np.searchsorted(term * blocks + self.ex // BLOCK, np.arange(terms * blocks + 1)).reshape(-1)
-        self.blocks = blocks
-        self.most = np.zeros((terms, blocks))
-        np.maximum.at(self.most, (term, self.ex // BLOCK), self.weight)
+        common = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:DENSE]
+        self.place = np.full(terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        at = self.place[term]
+        self.dense = np.zeros((len(common), len(ids)))
+        self.dense[at[at >= 0], ex[at >= 0]] = weight[at >= 0]
+        ex, term, weight = ex[at < 0], term[at < 0], weight[at < 0]
+        order = np.argsort(term, kind="stable")
+        self.ex, self.weight = ex[order], weight[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))])
+
+    def cosines(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """A row for each vector, a column for each example."""
+        q = np.zeros((len(vectors), len(self.dense)))
+        for row, (t, w) in zip(q, vectors, strict=True):
+            at = self.place[t]
+            row[at[at >= 0]] = w[at >= 0]
+        out = q @ self.dense
+        for row, (t, w) in zip(out, vectors, strict=True):
+            n = self.start[t + 1] - self.start[t]
+            if total := int(n.sum()):
+                at = np.arange(total) + np.repeat(self.start[t] - np.cumsum(n) + n, n)
+                row += np.bincount(self.ex[at], np.repeat(w, n) * self.weight[at], len(row))
+        return out
+
+    def best(self, cosines: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines), best first; only positive cosines."""
+        if without >= 0:
+            cosines = cosines.copy()
+            cosines[without] = 0
+        least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0
+        at = np.flatnonzero((cosines > 1e-12) & (cosines >= least - 1e-11))
+        c = np.round(cosines[at], 12)
+        order = np.lexsort((self.ids[at], -c))[:k]
+        return at[order], c[order]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines), best first; only positive cosines."""
-        bound = weights @ self.most[terms] if len(terms) else np.zeros(self.blocks)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < best[k - 1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if z > a:
-                    score[self.ex[a:z] - b * BLOCK] += w * self.weight[a:z]
-            at = np.flatnonzero(score > 0)
-            s = score[at]
-            at = at + b * BLOCK
-            if without >= 0:
-                s, at = s[at != without], at[at != without]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, s])
-            order = np.lexsort((self.ids[best_at], -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        return self.best(self.cosines([(terms, weights)])[0], k, without)
 
 
 def select_terms(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -154,61 +170,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_co
     df = array_sum(docs.select(text_col), frequencies, np.int64)
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
     found = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(n, np.int32)) for _, _, a, n in got]
-    terms = select_terms([a for a, _ in found], y)
-    if not len(terms):
-        return {"share": share, "index": None}
-    model = {"share": share, "terms": terms, "idf": idf[terms]}
+    factor = np.full(DIM, OTHERS)
+    factor[select_terms([a for a, _ in found], y)] = 1
+    model = {"share": share, "weight": idf * factor}
     vectors = [vector(c, model) for c in found]
-    model["index"] = Index(np.array([r[0] for r in got], np.int64), y, vectors, len(terms))
-    votes = np.array([vote(model["index"], v, i)[0] for i, v in enumerate(vectors)])
+    model["index"] = Index(np.array([r[0] for r in got], np.int64), y, vectors, DIM)
+    votes = np.array([v for v, _, _ in votes_of(model["index"], vectors, range(len(vectors)))])
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     model["curve"] = logistic(votes, y, weight)
     return model
 
 
-class SelectedTerms(dict):
-    """Places among the selected terms by word; none for most words."""
-
-    def __init__(self, terms: np.ndarray):
-        super().__init__()
-        self.place, self.hashes = {int(t): i for i, t in enumerate(terms)}, TermHashes()
-
-    def __missing__(self, w: str) -> tuple[int, ...]:
-        if len(self) >= TermHashes.LIMIT:
-            self.clear()
-        p = self[w] = tuple(self.place[b] for b in self.hashes.__missing__(w) if b in self.place)
-        self.hashes.clear()
-        return p
-
-    def vector(self, text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of a text; the same as by term_counts and vector()."""
-        n: dict[int, int] = {}
-        for w in WORD.findall(text.lower()) if text else ():
-            for p in self[w]:
-                n[p] = n.get(p, 0) + 1
-        at = np.array(sorted(n), np.int64)
-        w = (1 + np.log(np.array([n[p] for p in at.tolist()]))) * idf[at] if n else np.zeros(0)
-        norm = float(np.sqrt((w * w).sum()))
-        return at, w / norm if norm else w
-
-
 def vector(counts: tuple[np.ndarray, np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(selected terms, weights of norm 1)."""
+    """(terms, weights of norm 1)."""
     at, n = counts
-    pos = np.searchsorted(model["terms"], at)
-    pos[pos == len(model["terms"])] = 0
-    mine = model["terms"][pos] == at
-    pos, n = pos[mine], n[mine]
-    w = (1 + np.log(n)) * model["idf"][pos]
+    w = (1 + np.log(n)) * model["weight"][at]
     norm = float(np.sqrt((w * w).sum()))
-    return pos, w / norm if norm else w
+    return at, w / norm if norm else w
 
 
-def vote(index: Index, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-    if not len(v[0]):
-        return 0.0, np.zeros(0, np.int64), np.zeros(0)
-    at, cos = index.nearest(*v, NEIGHBOURS, without)
-    return float((cos * index.labels[at]).sum() / (cos.sum() + DOUBT)), at, cos
+def votes_of(index: Index, vectors: list[tuple[np.ndarray, np.ndarray]], without=None):
+    """(vote, examples, cosines) of each vector; ``without``: an example for each vector that is left out."""
+    for i in range(0, len(vectors), BLOCK):
+        for j, cosines in enumerate(index.cosines(vectors[i : i + BLOCK]), i):
+            at, cos = index.best(cosines, NEIGHBOURS, -1 if without is None else without[j])
+            yield float((cos * index.labels[at]).sum() / (cos.sum() + DOUBT)), at, cos
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
@@ -226,18 +212,18 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
     def run(batches):
         m = shared.value
         index = m["index"]
-        known = SelectedTerms(m["terms"]) if index is not None else None
+        hashes = TermHashes()
         for batch in batches:
-            out, why = [], []
-            for t in batch.column(0).to_pylist():
-                if index is None:
-                    out.append(m["share"])
-                    why.append([])
-                    continue
-                v, at, cos = vote(index, known.vector(t, m["idf"]))
+            if index is None:
+                out, why = [m["share"]] * batch.num_rows, [[]] * batch.num_rows
+            else:
+                out, why = [], []
                 a, b = m["curve"]
-                out.append(float(1 / (1 + np.exp(-(a * v + b)))))
-                why.append([{"doc_id": int(index.ids[i]), "cosine": float(c), "label": int(index.labels[i])} for i, c in zip(at, cos, strict=True)])
+                texts = batch.column(0).to_pylist()
+                for i in range(0, len(texts), BLOCK):
+                    for v, at, cos in votes_of(index, [vector(term_counts(t, hashes), m) for t in texts[i : i + BLOCK]]):
+                        out.append(float(1 / (1 + np.exp(-(a * v + b)))))
+                        why.append([{"doc_id": d, "cosine": c, "label": y} for d, c, y in zip(index.ids[at].tolist(), cos.tolist(), index.labels[at].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64()), pa.array(why, pa.list_(item))], [*names, "score", "evidence"])
 
     return src.mapInArrow(run, f"{kinds}, score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")

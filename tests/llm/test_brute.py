@@ -345,6 +345,29 @@ def test_block_max_search_is_exact():
         assert at.tolist() == [i for i in order.tolist() if exact[i] > 0] and np.allclose(cos, exact[at])
 
 
+def test_toxicity_over_all_terms(spark):
+    """A toxic example whose words few others have is the nearest of its copy, and every text that shares a word has evidence."""
+    common = [(i, f"filler{i % 7} plain{i % 11} insultword badword" if i % 2 else f"filler{i % 7} plain{i % 11} fine{i % 5}", i % 2) for i in range(80)]
+    rare = [(100, "zweifel quorvax mindelor", 1), (101, "gorbanik tellusor", 0)]
+    train = spark.createDataFrame([(i, y) for i, _, y in common + rare], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in common + rare] + [(200, rare[0][1]), (201, "gorbanik elsewhere"), (202, "unseen")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, train, F.lit(True)).collect()}
+    e = got[200].evidence
+    assert [(x.doc_id, x.label) for x in e] == [(100, 1)] and e[0].cosine == pytest.approx(1)
+    assert [x.doc_id for x in got[201].evidence] == [101] and got[202].evidence == [] and got[200].score > got[202].score
+
+
+def test_dense_part_changes_nothing(monkeypatch):
+    rnd = np.random.default_rng(3)
+    vectors = [(np.sort(rnd.choice(300, 20, replace=False)), rnd.random(20)) for _ in range(200)]
+    found = []
+    for n in (0, 50, 300):
+        monkeypatch.setattr(toxicity, "DENSE", n)
+        index = toxicity.Index(np.arange(200), rnd.integers(0, 2, 200), vectors, 300)
+        found.append([[x.tolist() for x in index.nearest(*v, 16)] for v in vectors])
+    assert all([a for a, _ in f] == [a for a, _ in found[0]] and np.allclose([c for _, c in f], [c for _, c in found[0]]) for f in found)
+
+
 def test_temperature():
     rnd = np.random.default_rng(2)
     z = rnd.normal(size=(4000, 3)) * 2
