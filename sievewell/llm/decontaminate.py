@@ -3,14 +3,15 @@
 Texts and benchmark items are lower-cased runs of letters and digits. Fixed masks select token positions of a window
 and ignore the others; their hashes over the items form a table of seeds (hash, item, position, mask), and those over
 every window of every document are joined with it by equal hash. A hit fixes a diagonal (position in the document
-less position in the item). Around it the overlap is verified token by token, substitutions allowed: the best
-segment (1 for an equal token, -2 for another) must be long enough and agree enough. Items shorter than a mask's span are
+less position in the item). Along it the overlap is verified token by token, substitutions allowed: some segment
+must be long enough and agree enough. Reported is the best segment (1 for an equal token, -2 for another) if it does,
+otherwise the longest that does. Items shorter than a mask's span are
 searched for as a whole.
 
 The seeds are sent to the tasks in blocks of bounded size, so any number of items works with bounded memory, at one
 pass over the texts for each block; hits are found and verified where the text is, and only hits leave a task.
 
-A document is contaminated if a verified segment has ``MIN_TOKENS`` tokens or covers ``ITEM_SHARE`` of an item of
+A document is contaminated if any segment on a seed's diagonal has ``MIN_TOKENS`` tokens or covers ``ITEM_SHARE`` of an item of
 under that many tokens, with ``MIN_AGREE`` of them equal.
 
 Nulls and odd inputs: null, empty and token-free texts and items have no hits. Repeated documents get a row each;
@@ -19,6 +20,7 @@ repeated items are all reported. Empty tables: nothing is contaminated.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -31,6 +33,8 @@ from .common import WordHashes, mix64, texts
 # 1 is a position that must be equal.
 MASKS = ("1101100101101", "1110010110011", "1011001110101", "11111111")
 MIN_TOKENS, MIN_AGREE, ITEM_SHARE = 13, 0.8, 0.9
+#: Sums of 1 for an equal token and this for another are 0 or more where MIN_AGREE of the tokens are equal.
+DISAGREE = -round(MIN_AGREE / (1 - MIN_AGREE))
 #: Shortest item that is searched for.
 LEAST_ITEM = 5
 #: Seeds in a block (32 bytes each).
@@ -85,6 +89,25 @@ def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def verified_segment(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """Start, end and number of equal tokens of a segment of ``least`` tokens or more with MIN_AGREE of them equal, if there is any.
+
+    The best segment if it is one, otherwise the longest (the first of equals).
+    """
+    if equal.sum() < MIN_AGREE * least:
+        return None
+    start, end, same = best_segment(equal)
+    if end - start >= least and same >= MIN_AGREE * (end - start):
+        return start, end, same
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, DISAGREE))])
+    # The first place with a sum as low as here is where the running minimum gets there.
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    length = np.arange(len(sums)) - first
+    end = int(np.argmax(length))
+    start = int(first[end])
+    return (start, end, int(equal[start:end].sum())) if end - start >= least else None
+
+
 class Seeds:
     """A block of items and the sorted hashes of their seeds."""
 
@@ -118,10 +141,9 @@ class Seeds:
         for i, d in sorted(diagonals):
             x = self.items[i][1]
             a, b = max(0, -d), min(len(x), len(w) - d)
-            start, end, same = best_segment(x[a:b] == w[a + d : b + d])
-            n = end - start
-            enough = n >= MIN_TOKENS if len(x) >= MIN_TOKENS else n >= ITEM_SHARE * len(x)
-            if n and enough and same >= MIN_AGREE * n:
+            least = MIN_TOKENS if len(x) >= MIN_TOKENS else math.ceil(ITEM_SHARE * len(x))
+            if found := verified_segment(x[a:b] == w[a + d : b + d], least):
+                start, end, same = found
                 out.append((i, a + d + start, a + d + end, same))
         return out
 

@@ -167,6 +167,24 @@ def test_decontaminate_against_exact_windows():
         assert any(s <= 3 and e >= 17 for _, s, e, _ in seeds.find(text)) or a + 14 > 60
 
 
+def test_any_segment_counts():
+    """Verification against all segments by brute force, and a verbatim run followed by a stretch that agrees less."""
+    rnd = np.random.default_rng(4)
+    for k in range(600):
+        n = int(rnd.integers(5, 70))
+        equal = rnd.random(n) >= (0.15, 0.2, 0.25)[k % 3]
+        least = int(rnd.integers(5, 14))
+        sums = np.concatenate([[0], np.cumsum(equal)])
+        right = {(a, b) for a in range(n) for b in range(a + least, n + 1) if 5 * (sums[b] - sums[a]) >= 4 * (b - a)}
+        got = decontaminate.verified_segment(equal, least)
+        assert (got is None) == (not right) and (got is None or (got[:2] in right and got[2] == sums[got[1]] - sums[got[0]]))
+    h = decontaminate._TokenHashes()
+    item = [f"t{i}" for i in range(53)]
+    changed = [13 + 10 * r + j for r in range(4) for j in (0, 3, 6)]
+    text = ["changed" if i in changed else t for i, t in enumerate(item)]
+    assert decontaminate.Seeds([(1, decontaminate.tokens(" ".join(item), h))]).find(decontaminate.tokens(" ".join(text), h))
+
+
 # --- quality rules ---
 
 
