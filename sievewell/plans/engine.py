@@ -21,7 +21,7 @@ from ..sources import store
 from . import clients, schema, sql_gate
 
 Factory = Callable[[str], clients.Client]
-#: Questions that the SQL path answers on the driver, one statement each, in one call.
+#: Answers of the SQL and graph paths that the driver holds at once.
 SQL_QUESTIONS = 1000
 
 
@@ -138,8 +138,8 @@ class Engine:
 
     def _sql(self, q: DataFrame, s: Settings) -> DataFrame:
         """Each question needs a statement of its own, which only the driver can start."""
-        rows = []
-        for r in q.limit(SQL_QUESTIONS).collect():
+
+        def answer(r):
             began = time.monotonic()
             client = self.factory(r.route)
             names = schema.narrow(self.spark, r["query"], s.schema_top_k, client.embed, self.tables)
@@ -151,25 +151,40 @@ class Engine:
                 answer = second.text
                 cites = [(1, "sql", 0, 1.0, f"{done.sql}\n{sql_gate.render(done.columns, done.rows, 5)}"[:400])]
                 tokens = (tokens[0] + second.input_tokens, tokens[1] + second.output_tokens)
-            rows.append((r.qid, r["query"], "sql", r.route, r.model, r.router_reason, r.difficulty, answer, cites, *tokens, int(1000 * (time.monotonic() - began)), done.ok))
-        kinds = f"qid {q.schema['qid'].dataType.simpleString()}, query string, path string, route string, model string, router_reason string, difficulty double, answer string, citations {self._CITATION}, input_tokens bigint, output_tokens bigint, latency_ms bigint, answered boolean"
-        return self.spark.createDataFrame(rows, kinds)
+            return r.qid, r["query"], "sql", r.route, r.model, r.router_reason, r.difficulty, answer, cites, *tokens, int(1000 * (time.monotonic() - began)), done.ok
+
+        return self._one_by_one(q, answer)
 
     def _graph(self, q: DataFrame) -> DataFrame:
         """Map over the communities, reduce over what they say; at most eight communities a question."""
-        comms = self.graphs.load()["communities"]
-        live = [r.source for r in self.corpus.chunks().select("source").distinct().limit(100_000).collect()]
+        graph.ensure_checkpoint_dir(q)
+        comms = graph.rebuild(self.graphs.load()["communities"], self.corpus.chunks()).checkpoint()  # live ones, with their live sources
         embedded = comms.filter(F.coalesce(F.size("embedding"), F.lit(0)) > 0)
-        chosen = graph.select_by_size(comms, live=live) if embedded.isEmpty() else None
-        rows = []
-        for r in q.limit(SQL_QUESTIONS).collect():
+        chosen = graph.select_by_size(comms) if embedded.isEmpty() else None
+
+        def answer(r):
             began = time.monotonic()
             client = self.factory(r.route)
-            best = (chosen if chosen is not None else graph.rank_communities(comms, [float(x) for x in client.embed([r["query"]])[0]], live=live)).collect()
-            answer, cites, tokens = global_answer(client, r["query"], best, set(live))
-            rows.append((r.qid, r["query"], "graph", r.route, r.model, r.router_reason, r.difficulty, answer, cites, *tokens, int(1000 * (time.monotonic() - began)), bool(cites)))
+            best = (chosen if chosen is not None else graph.rank_communities(comms, [float(x) for x in client.embed([r["query"]])[0]])).collect()
+            answer, cites, tokens = global_answer(client, r["query"], best, set())
+            return r.qid, r["query"], "graph", r.route, r.model, r.router_reason, r.difficulty, answer, cites, *tokens, int(1000 * (time.monotonic() - began)), bool(cites)
+
+        return self._one_by_one(q, answer)
+
+    def _one_by_one(self, q: DataFrame, answer: Callable) -> DataFrame:
+        """The rows that ``answer`` makes of all questions, on the driver; full blocks of them go to the shared folder."""
         kinds = f"qid {q.schema['qid'].dataType.simpleString()}, query string, path string, route string, model string, router_reason string, difficulty double, answer string, citations {self._CITATION}, input_tokens bigint, output_tokens bigint, latency_ms bigint, answered boolean"
-        return self.spark.createDataFrame(rows, kinds)
+        blocks, rows = [], []
+        for r in q.toLocalIterator():
+            rows.append(answer(r))
+            if len(rows) >= SQL_QUESTIONS:
+                graph.ensure_checkpoint_dir(q)
+                blocks.append(self.spark.createDataFrame(rows, kinds).checkpoint())
+                rows = []
+        out = self.spark.createDataFrame(rows, kinds)
+        for b in blocks:
+            out = out.unionByName(b)
+        return out
 
     def history(self, n: int = 20) -> DataFrame:
         if not self.log_path:

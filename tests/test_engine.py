@@ -89,6 +89,20 @@ def test_engine(spark, folder, tmp_path):
     assert [x["recall"] for x in engine.compare_configs(e, items)] == [1.0, 1.0, 1.0]
 
 
+def test_batches_over_a_block(spark, tmp_path, monkeypatch):
+    """All questions of a batch are answered and logged; only live sources count."""
+    monkeypatch.setattr(engine, "SQL_QUESTIONS", 2)
+    corpus, graphs = store.Corpus(spark, f"{tmp_path}/chunks"), store.GraphStore(spark, f"{tmp_path}/graph")
+    catalog.demo_sales(spark)
+    e = engine.Engine(spark, Settings(), make, corpus, f"{tmp_path}/log", graphs, ["sales"])
+    e.ingest(spark.createDataFrame([("a", "a", "Lisbon Oslo Rome"), ("b", "b", "Lisbon Oslo Bern")], "path string, source string, text string"))
+    engine.build_graph(corpus.chunks(), make, graphs)
+    q = spark.createDataFrame([(i, "How many sales are there in total?" if i < 5 else "Give me the big picture") for i in range(8)], "qid int, query string")
+    out = {r.qid: r for r in e.ask(q).collect()}
+    assert {i: r.path for i, r in out.items()} == {i: "sql" if i < 5 else "graph" for i in range(8)} and all(r.answered for r in out.values())
+    assert {c.source for r in out.values() if r.path == "graph" for c in r.citations} == {"a, b"} and e.history().count() == 8
+
+
 def test_no_sources(spark, tmp_path):
     e = engine.Engine(spark, Settings(), make, store.Corpus(spark, f"{tmp_path}/none"))
     r = e.ask(spark.createDataFrame([(1, "anything")], "qid int, query string")).first()
