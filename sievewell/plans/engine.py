@@ -68,7 +68,7 @@ class Engine:
         kind = questions.schema["qid"].dataType.simpleString()
         asked = questions.select("qid", "query").mapInPandas(embed, f"qid {kind}, query string, embedding array<double>")
         chunks = self.corpus.chunks()
-        wide = replace(s, top_k_final=max(s.top_k_final, s.top_k_vector)) if self.scorer and s.reranker != "none" and s.mode == "hybrid" else s
+        wide = replace(s, top_k_final=s.top_k_vector + s.top_k_keyword) if self.scorer and s.reranker != "none" and s.mode == "hybrid" else s
         found = hybrid(chunks, chunks, asked, wide).join(chunks.select("id", "source", "chunk_index", "content"), "id").join(F.broadcast(questions.select("qid", "query")), "qid")
         calibrated = False
         if wide is not s:

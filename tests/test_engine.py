@@ -103,6 +103,23 @@ def test_batches_over_a_block(spark, tmp_path, monkeypatch):
     assert {c.source for r in out.values() if r.path == "graph" for c in r.citations} == {"a, b"} and e.history().count() == 8
 
 
+def test_all_fused_rows_are_reranked(spark, tmp_path):
+    """The scorer sees both legs to their ends: its favourite wins from the last place of the fusion."""
+    corpus = store.Corpus(spark, f"{tmp_path}/chunks")
+    s = Settings(top_k_vector=3, top_k_keyword=3, top_k_final=2, reranker="local")
+    short = [f"apple pear s{i}" for i in range(3)]
+    long = ["apple apple apple pear pear " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(3)]
+    e = engine.Engine(spark, s, make, corpus)
+    e.ingest(spark.createDataFrame([(f"d{i}", f"d{i}", t) for i, t in enumerate(short + long)], "path string, source string, text string"))
+    q, chunks = spark.createDataFrame([(1, "apple pear")], "qid int, query string"), corpus.chunks()
+    asked = q.withColumn("embedding", F.array(*[F.lit(float(v)) for v in make("local").embed(["apple pear"])[0]]))
+    fused = engine.hybrid(chunks, chunks, asked, engine.replace(s, top_k_final=6)).join(chunks, "id").orderBy("rank").collect()
+    assert len(fused) == 6
+    last = fused[-1]
+    e.scorer = lambda qs, cs, best=last.content: [float(c == best) for c in cs]
+    assert e.retrieve(q).orderBy("rank").first().source == last.source
+
+
 def test_no_sources(spark, tmp_path):
     e = engine.Engine(spark, Settings(), make, store.Corpus(spark, f"{tmp_path}/none"))
     r = e.ask(spark.createDataFrame([(1, "anything")], "qid int, query string")).first()
