@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import warnings
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normal_name
 from .retrieval import cosine
 
-#: Graphs of at most so many edges are clustered by greedy modularity on the driver; larger ones by label propagation.
+#: Most edges that greedy modularity takes to the driver.
 DRIVER_EDGES = 200_000
 LABEL_ROUNDS = 20
 
@@ -111,7 +112,10 @@ def greedy_modularity(edges: list[tuple], resolution: float = 1.0) -> list[list]
 
 
 def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
-    """(id, community) for large graphs: nodes take the most frequent label (least of equals) of their neighbours and their own, some rounds."""
+    """(id, community) for large graphs: nodes take the most frequent label (least of equals) of their neighbours and their own, until nothing moves.
+
+    Warns if labels still move after ``rounds`` rounds (they may go back and forth for ever).
+    """
     ensure_checkpoint_dir(edges)
     both = edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")).checkpoint()
@@ -124,14 +128,25 @@ def label_propagation(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame
         labels = new
         if not moved:
             break
+    else:
+        warnings.warn(f"label propagation did not converge in {rounds} rounds", stacklevel=2)
     return labels
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """(community, id) of edges (a, b), communities numbered from 0, the largest first."""
+def communities(edges: DataFrame, method: str = "modularity") -> DataFrame:
+    """(community, id) of edges (a, b), communities numbered from 0, the largest first.
+
+    ``method`` is ``modularity`` (greedy, on the driver, an error beyond DRIVER_EDGES edges) or ``labels`` (label propagation,
+    for graphs of any size). They give different communities, so the size never decides.
+    """
     spark, kind = edges.sparkSession, edges.schema["a"].dataType.simpleString()
-    if edges.count() <= DRIVER_EDGES:
-        rows = [(i, x) for i, c in enumerate(greedy_modularity([(r.a, r.b) for r in edges.select("a", "b").collect()])) for x in c]
+    if method not in ("modularity", "labels"):
+        raise ValueError(f"unknown method {method!r}; known: modularity, labels")
+    if method == "modularity":
+        found = edges.select("a", "b").limit(DRIVER_EDGES + 1).collect()
+        if len(found) > DRIVER_EDGES:
+            raise ValueError(f"over {DRIVER_EDGES} edges are too many for method 'modularity'; choose 'labels'")
+        rows = [(i, x) for i, c in enumerate(greedy_modularity([(r.a, r.b) for r in found])) for x in c]
         return spark.createDataFrame(rows, f"community int, id {kind}")
     labels = label_propagation(edges)
     sizes = labels.groupBy("community").agg(F.count("*").alias("n"))

@@ -219,8 +219,8 @@ def global_answer(client, query: str, comms: list, live: set[str]) -> tuple[str,
     return final.text, cites, (used[0] + final.input_tokens, used[1] + final.output_tokens)
 
 
-def build_graph(chunks: DataFrame, factory: Factory, graphs: store.GraphStore) -> dict[str, int]:
-    """Extracts entities and relationships from chunks, finds communities, summarises them and stores all."""
+def build_graph(chunks: DataFrame, factory: Factory, graphs: store.GraphStore, method: str = "modularity") -> dict[str, int]:
+    """Extracts entities and relationships from chunks, finds communities (see graph.communities), summarises them and stores all."""
 
     def ask(batches):
         c = factory("local")
@@ -234,7 +234,7 @@ def build_graph(chunks: DataFrame, factory: Factory, graphs: store.GraphStore) -
     found = parse.entities(lines, "id").withColumn("chunk_id", F.col("id")).withColumn("ord", F.col("id").cast("decimal(38,0)") * 10000 + F.col("line_no"))
     merged = graph.merge_entities(found, "ord").checkpoint()
     rel = graph.valid_edges(parse.relationships(lines, "id"), merged).checkpoint()
-    comms = graph.communities(rel.select(F.col("s").alias("a"), F.col("t").alias("b")))
+    comms = graph.communities(rel.select(F.col("s").alias("a"), F.col("t").alias("b")), method)
     sources = graph.provenance(comms, merged, chunks)
     sizes = comms.groupBy("community").agg(F.count("*").alias("n"))
     big = sizes.filter("n >= 2")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievewell.operators import graph
@@ -43,6 +44,19 @@ def test_communities(spark):
     assert len({labels[i] for i in range(5)}) == 1 and len({labels[i] for i in range(10, 14)}) == 1
 
 
+def test_size_does_not_choose_the_method(spark, monkeypatch):
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a int, b int")
+    small = {r.id: r.community for r in graph.communities(path).collect()}
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 12)
+    assert {r.id: r.community for r in graph.communities(path).collect()} == small
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 11)
+    with pytest.raises(ValueError, match="labels"):
+        graph.communities(path)
+    assert graph.communities(path, "labels").count() == len(small)
+    with pytest.warns(UserWarning, match="converge"):
+        graph.label_propagation(path, 1)
+
+
 def test_communities_ranked_and_rebuilt(spark):
     c = spark.createDataFrame([(0, "s", ["a", "b"], ["x"], [1.0, 0.0]), (1, "s", ["a"], ["y"], [0.0, 1.0]), (2, None, ["a", "b", "c"], [], None)], "id int, summary string, entity_names array<string>, sources array<string>, embedding array<double>")
     assert [r.id for r in graph.rank_communities(c, [0.1, 1.0]).collect()] == [1, 0]
