@@ -5,8 +5,8 @@ and ignore the others; their hashes over the items form a table of seeds (hash,
 every window of every document are joined with it by equal hash. A hit fixes a diagonal (position in the document
 less position in the item). Along it the overlap is verified token by token, substitutions allowed: some segment
 must be long enough and agree enough. Reported is the best segment (1 for an equal token, -2 for another) if it does,
-otherwise the longest that does. Items shorter than a mask's span are
-searched for as a whole.
+otherwise the longest that does. For items under MIN_TOKENS tokens the seeds are runs so short that no segment to be
+found is without one; items under LEAST_ITEM tokens are not searched for, as a few words in a row are no sign of a copy.
 
 The seeds are sent to the tasks in blocks of bounded size, so any number of items works with bounded memory, at one
 pass over the texts for each block; hits are found and verified where the text is, and only hits leave a task.
@@ -75,9 +75,20 @@ def masked(w: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix64(h)
 
 
+def least_length(n: int) -> int:
+    """Tokens that a segment must have, for an item of n tokens."""
+    return MIN_TOKENS if n >= MIN_TOKENS else math.ceil(ITEM_SHARE * n)
+
+
 def masks_for(n: int) -> list[str]:
-    """The masks, and for short items the whole item."""
-    return [m for m in MASKS if len(m) <= n] or ["1" * n]
+    """The masks; for items under MIN_TOKENS tokens a run of equal tokens that every segment to be found has."""
+    if n >= MIN_TOKENS:
+        return [m for m in MASKS if len(m) <= n]
+    runs = []
+    for length in range(least_length(n), n + 1):
+        others = length // (1 - DISAGREE)  # at most
+        runs.append(-(-(length - others) // (others + 1)))
+    return ["1" * min(runs)]
 
 
 def best_segment(equal: np.ndarray) -> tuple[int, int, int]:
@@ -141,8 +152,7 @@ class Seeds:
         for i, d in sorted(diagonals):
             x = self.items[i][1]
             a, b = max(0, -d), min(len(x), len(w) - d)
-            least = MIN_TOKENS if len(x) >= MIN_TOKENS else math.ceil(ITEM_SHARE * len(x))
-            if found := verified_segment(x[a:b] == w[a + d : b + d], least):
+            if found := verified_segment(x[a:b] == w[a + d : b + d], least_length(len(x))):
                 start, end, same = found
                 out.append((i, a + d + start, a + d + end, same))
         return out

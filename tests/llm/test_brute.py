@@ -185,6 +185,18 @@ def test_any_segment_counts():
     assert decontaminate.Seeds([(1, decontaminate.tokens(" ".join(item), h))]).find(decontaminate.tokens(" ".join(text), h))
 
 
+def test_short_items():
+    """Items of 5 to 12 tokens with substitutions are found where brute force over all segments finds them."""
+    rnd = np.random.default_rng(8)
+    for n in range(5, 13):
+        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919)
+        seeds, least = decontaminate.Seeds([(1, item)]), decontaminate.least_length(n)
+        for equal in [np.arange(n) != k for k in range(n)] + [rnd.random(n) >= 0.2 for _ in range(60)]:
+            text = np.concatenate([np.full(9, 3, np.uint64), np.where(equal, item, np.uint64(5)), np.full(9, 3, np.uint64)])
+            right = any(5 * equal[a:b].sum() >= 4 * (b - a) for a in range(n) for b in range(a + least, n + 1))
+            assert bool(seeds.find(text)) == right, (n, equal)
+
+
 # --- quality rules ---
 
 
