@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Settings that a session may take on while it runs, see prepare().
+RUNTIME = {
+    # unions that keep their inputs' partitioning fail when adaptive execution gives these different numbers of partitions
+    "spark.sql.unionOutputPartitioning": "false",
+    # batches for Python workers: bounded by bytes, as texts can be long; the JVM and the worker hold a batch each
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -11,9 +19,21 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.runSQLOnFiles": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # unions that keep their inputs' partitioning fail when adaptive execution gives these different numbers of partitions
-    "spark.sql.unionOutputPartitioning": "false",
-}
+} | RUNTIME
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sets what RUNTIME has and the session's owner has not set. For applications; the library changes no session."""
+    given = spark.conf.getAll
+    for name, value in RUNTIME.items():
+        if name not in given:
+            spark.conf.set(name, value)
+
+
+def missing(spark: SparkSession) -> str:
+    """Settings of RUNTIME without which some plans fail and that the session does not have."""
+    name = "spark.sql.unionOutputPartitioning"
+    return "" if spark.conf.getAll.get(name) == RUNTIME[name] else f"{name}={RUNTIME[name]}"
 
 
 def build_session(app: str = "sievewell", master: str | None = None, **conf: str) -> SparkSession:
