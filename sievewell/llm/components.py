@@ -5,30 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import materialize, remove, spread_join
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges up to which the table of least neighbours, two rows an edge at most, is broadcast: under 32 MB with overhead.
+BROADCAST_EDGES = 250_000
+
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (a, b), made from n, with m, the least b of each a. Nodes with very many edges are split, see spread_join."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+    if n <= BROADCAST_EDGES:
+        return edges.join(F.broadcast(least.drop("rows")), "a")
+    return spread_join(edges, materialize(least, "least")[0], "a", "rows", F.xxhash64("b"), bound=0)
+
+
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """One round: every node points its neighbours (the larger ones, or the smaller ones and itself) to its least neighbour.
 
     The least neighbour comes from a partial aggregate and goes back by a join, so no node's neighbours are gathered.
     """
     if large:
-        sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy("a").agg(F.min("b").alias("m"))
-        out = sym.filter("b > a").join(least, "a").select(F.col("b").alias("x"), F.least("m", "a").alias("y"))
+        sym = _with_least(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), n)
+        out = sym.filter("b > a").select(F.col("b").alias("x"), F.least("m", "a").alias("y"))
     else:
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
+        joined = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), n)
         out = joined.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(joined.select(F.col("a").alias("x"), F.col("m").alias("y")))
     return out.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(id, root) for every node of ``edges`` (a, b): root is the least node that it is connected with.
 
-    Each round is written to the shared folder, which cuts the lineage. It ends when a round changes no edge.
+    Each round is written to the shared folder, which cuts the lineage. It ends when a round changes no edge. The path of
+    the table that the result reads is added to ``made``, for the caller to remove.
     """
     spark = edges.sparkSession
     cur, path = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -38,8 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if last == (state.n, state.h) or not state.n:
             break
         last = (state.n, state.h)
-        nxt, new = materialize(_stars(_stars(cur, True), False), "edges")
+        nxt, new = materialize(_stars(_stars(cur, True, state.n), False, state.n), "edges")
         remove(spark, path)
         cur, path = nxt, new
+    if made is not None:
+        made.append(path)
     # now every node other than the roots has one edge, to its root
     return cur.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
