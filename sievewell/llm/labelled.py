@@ -16,8 +16,8 @@ def sample_labels(labels: DataFrame, label_col: str, learn: Column, bound: int,
     """
     rows = labels.filter(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__sw_id")).agg(F.max(label_col).alias("label"))
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    few = min(sizes.values(), default=0)
-    want = {y: min(n, max(bound // 2, bound - few)) for y, n in sizes.items()}
+    fewest = min(sizes.values(), default=0)
+    want = {y: min(n, max(bound // 2, bound - fewest)) for y, n in sizes.items()}
     chance = F.lit(0.0)
     for y, n in sizes.items():
         chance = F.when(F.col("label") == y, want[y] / n).otherwise(chance)
@@ -25,5 +25,9 @@ def sample_labels(labels: DataFrame, label_col: str, learn: Column, bound: int,
 
 
 def sampled(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, label, text) of the sampled documents. The sample is bounded, so it is broadcast and no text is shuffled."""
-    return docs.select(F.col(id_col).alias("__sw_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__sw_id").select("__sw_id", "label", "text")
+    """(id, label, text) of the sampled documents, one text for each id (that of the least hash).
+
+    The sample is bounded, so it is broadcast; only texts of the sample are shuffled, one for each id and task.
+    """
+    rows = docs.select(F.col(id_col).alias("__sw_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__sw_id")
+    return rows.groupBy("__sw_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -147,13 +147,13 @@ def fit(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: st
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 c = gram_counts(t)
                 if c:
-                    for o, v in zip(out, (lang, c[0].astype(np.uint16).tobytes(), np.minimum(c[1], 65535).astype(np.uint16).tobytes()), strict=True):
+                    for o, v in zip(out, (lang, c[0].astype(np.uint16).tobytes(), c[1].astype(np.int64).tobytes()), strict=True):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["l", "at", "n"])
 
     # ordered, so that the model does not depend on how the rows are dealt
     got = sorted((r.l, bytes(r.at), bytes(r.n)) for r in sample.select("t", "l").mapInArrow(features, "l string, at binary, n binary").collect())
-    data = [(*vector((np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(n, np.uint16)), idf), names.index(x)) for x, a, n in got]
+    data = [(*vector((np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(n, np.int64)), idf), names.index(x)) for x, a, n in got]
     order = np.random.default_rng(3).permutation(len(data))
     held = [data[i] for i in order[: len(data) // 5]]
     w, b = train([data[i] for i in order[len(data) // 5 :]], len(names))

@@ -10,6 +10,9 @@ together, in the way that brings the words nearest to the target.
 
 Block membership and random numbers come from hashes of ids and of the round, so reruns agree.
 
+Where very many rows share id and size, their block is split by their places in the input. Sources are a table that
+may be of any length: targets are found by a few sums over it.
+
 Nulls and odd inputs: a null or wordless text has size 0; such a document weighs in the number of documents only. A
 null source is one of its own, after all others. Rows that repeat id and size are interchangeable. A source without
 words gets target 0 and nothing is taken. Empty tables give empty results.
@@ -20,10 +23,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ..operators.topk import numbered
+from .common import ROWS_A_SALT, WORD, few, materialize, shared_dir, spread_join
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -33,28 +37,28 @@ BLOCK = 5_000
 LANDING = 5_000
 #: Documents of a source, of all sizes, that the landing settles together with what a flight leaves open.
 LAST = 11
-#: Up to so many rows' copies (40 bytes each) are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows that are broadcast, at most: under 32 MB at up to 128 bytes each, with the overhead of a hash table.
+BROADCAST_ROWS = 250_000
 EPS = 1e-9
 
 
-def targets(sizes: dict[str | None, float], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
-    """Target by source: shares by weight of ``share`` of all words; what is over ``cap`` times a source's size is
-    shared again among the others, by weight, until none is over. Sources by code point, null last, take the weights in turn."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    left, open_, out = share * sum(sizes.values()), list(names), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s in open_ if weight[s] * unit > cap * sizes[s]]
-        if not over:
-            out |= {s: weight[s] * unit for s in open_}
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sources (source, size, ...) with target: shares by weight of ``share`` of all words; what is over ``cap`` times a
+    source's size is shared again among the others, by weight, until none is over. Sources by code point, null last, take the weights in turn.
+
+    Each round of sharing is a sum over the table: the unit of weight rises as sources meet their caps, and they keep them.
+    """
+    shared_dir(sources.sparkSession)  # for checkpoints
+    ranked = numbered(sources, [F.col("source").isNull(), F.col("source")])
+    ranked, _ = materialize(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))).drop("number"), "weights")
+    total, unit, before = ranked.agg(F.sum("size")).first()[0] or 0, 0.0, -1
+    while True:
+        over = F.col("size") * cap < F.col("weight") * F.lit(unit)
+        r = ranked.agg(F.count(F.when(over, 1)).alias("n"), F.coalesce(F.sum(F.when(over, F.col("size"))), F.lit(0)).alias("size"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if r.n == before or not r.weight:
             break
-        for s in over:
-            out[s] = cap * sizes[s]
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-    return out
+        before, unit = r.n, (share * total - cap * r.size) / r.weight
+    return ranked.withColumn("target", F.least(F.col("size") * cap, F.col("weight") * F.lit(unit))).drop("weight")
 
 
 def flight(prob: np.ndarray, size: np.ndarray, rand: np.random.Generator) -> np.ndarray:
@@ -122,8 +126,8 @@ def _seeded(*key) -> np.random.Generator:
 
 def _settle(last: bool, round_no: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "order"], ascending=[False, True], kind="stable")
-        rand = _seeded(round_no, pdf.source_key.iloc[0], int(pdf.block.iloc[0]))
+        pdf = pdf.sort_values(["size", "order", "row_id"], ascending=[False, True, True], kind="stable")
+        rand = _seeded(round_no, pdf.source_key.iloc[0], int(pdf.block.iloc[0]), int(pdf.part.iloc[0]))
         p = (landing if last else flight)(pdf.prob.to_numpy(float), pdf["size"].to_numpy(float), rand)
         return pd.DataFrame({"row_id": pdf.row_id, "source_key": pdf.source_key, "size": pdf["size"], "order": pdf["order"], "prob": p})
 
@@ -133,18 +137,16 @@ def _settle(last: bool, round_no: int):
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(row_id, id, source, size, source_size, target, copies) for every row of docs.
 
-    Only ids, sources and sizes are shuffled. The driver holds one number for each source.
+    Only ids, sources and sizes are shuffled.
     """
-    spark = docs.sparkSession
     src = F.col(source_col).cast("string")
     sized = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), src.alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized, _ = materialize(sized, "sizes")
-    totals = {r.source: (r.size, r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    aims = targets({s: float(x) for s, (x, _) in totals.items()}, weights, share, cap)
-    plan = spark.createDataFrame([(s, totals[s][0], totals[s][1], aims[s]) for s in totals], "source string, source_size bigint, n bigint, target double")
-    plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).select(F.col("source").alias("s"), "source_size", "n", "target", "rate")
-    if len(totals) <= 100_000:
-        plan = F.broadcast(plan)
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights, share, cap)
+    plan = plan.withColumn("rate", F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)).select(F.col("source").alias("s"), F.col("size").alias("source_size"), "n", "target", "rate")
+    plan, _ = materialize(plan, "targets")
+    largest, round_no = plan.agg(F.max("n")).first()[0] or 0, 0
+    plan = few(plan, BROADCAST_ROWS)
     rated = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     whole = F.floor(F.col("rate") + EPS)
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
@@ -153,11 +155,14 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     still = rated.filter(part > EPS).select("row_id", source_key.alias("source_key"), "size", order.alias("order"), part.alias("prob"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     schema = "row_id bigint, source_key string, size bigint, order bigint, prob double"
     settled: list[DataFrame] = []
-    largest, round_no = max([0, *(n for _, n in totals.values())]), 0
     while True:
         last = largest <= LANDING
         blocked = still.withColumn("block", F.pmod(F.xxhash64("order", F.lit(round_no)), F.col("blocks")).cast("int"))
-        done, _ = materialize(blocked.groupBy("source_key", "block").applyInPandas(_settle(last, round_no), schema), "flight")
+        # rows that share id and size share a block; where they are many it is split
+        crowded, _ = materialize(blocked.groupBy("source_key", "block").agg(F.count("*").alias("m")).filter(F.col("m") > 2 * BLOCK), "crowded")
+        parts = F.coalesce(F.pmod(F.xxhash64("row_id"), F.ceil(F.col("m") / BLOCK)), F.lit(0)).cast("int")
+        blocked = blocked.join(few(crowded, BROADCAST_ROWS), ["source_key", "block"], "left").withColumn("part", parts).drop("m")
+        done, _ = materialize(blocked.groupBy("source_key", "block", "part").applyInPandas(_settle(last, round_no), schema), "flight")
         if last:
             settled.append(done.select("row_id", "prob"))
             break
@@ -180,21 +185,27 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     The rows get their number of copies by id and size; rows that repeat both share their copies out among them.
     """
     c = copies(docs, id_col, text_col, source_col)
-    by_key = c.groupBy(F.col(id_col).alias("__sw_id"), F.col(source_col).alias("__sw_source"), F.col("size").alias("__sw_size")).agg(F.sum("copies").alias("__sw_copies"), F.count("*").alias("__sw_rows"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    key = lambda n: F.struct(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("s"), n.alias("n")).alias("__sw_key")
+    by_key = c.groupBy(key(F.col("size"))).agg(F.sum("copies").alias("__sw_copies"), F.count("*").alias("__sw_rows"))
     by_key, _ = materialize(by_key, "copies")
-    keyed = docs.withColumn("__sw_n", size)
-    on = F.col(id_col).eqNullSafe(F.col("__sw_id")) & F.col(source_col).eqNullSafe(F.col("__sw_source")) & (F.col("__sw_n") == F.col("__sw_size"))
-    once = by_key.filter("__sw_rows = 1 and __sw_copies > 0")
-    if once.count() <= BROADCAST_ROWS:
-        once = F.broadcast(once)
-    single = keyed.join(once, on).withColumn("__sw_take", F.col("__sw_copies"))
-    out = single
-    if by_key.filter("__sw_rows > 1").limit(1).count():
-        again = keyed.join(by_key.filter("__sw_rows > 1"), on)
-        per = F.floor(F.col("__sw_copies") / F.col("__sw_rows"))
-        # the odd copies go to rows in the order of their text hashes, settled by a count within each key
-        ranked = again.withColumn("__sw_rank", F.expr("row_number() over (partition by __sw_id, __sw_source, __sw_size order by xxhash64(`%s`))" % text_col))
-        out = out.unionByName(ranked.withColumn("__sw_take", per + (F.col("__sw_rank") <= F.col("__sw_copies") - per * F.col("__sw_rows")).cast("int")).drop("__sw_rank"))
-    out = out.filter("__sw_take > 0").withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_take").cast("int"))))
-    return out.select(*[F.col(c) for c in docs.columns])
+    keyed, salt = docs.withColumn("__sw_key", key(size)), F.xxhash64(text_col)
+    once = by_key.filter("__sw_rows = 1 and __sw_copies > 0").withColumn("__sw_take", F.col("__sw_copies").cast("int"))
+    columns = [F.col(c) for c in docs.columns]
+    out = spread_join(keyed, once, "__sw_key", "__sw_rows", salt, bound=BROADCAST_ROWS).select(*columns, "__sw_take")
+    often = by_key.filter("__sw_rows > 1 and __sw_copies > 0")
+    if not often.isEmpty():
+        # the odd copies go to the first rows of a key, which are numbered in buckets, without their texts
+        again = spread_join(keyed, often.withColumn("__sw_m", F.col("__sw_rows")), "__sw_key", "__sw_rows", salt, bound=BROADCAST_ROWS)
+        again, _ = materialize(again.withColumn("__sw_row", F.monotonically_increasing_id()), "repeated")
+        bucket = F.pmod(F.xxhash64("__sw_row"), F.ceil(F.col("__sw_m") / ROWS_A_SALT)).cast("int")
+        narrow = again.select("__sw_row", "__sw_key", "__sw_copies", "__sw_m", bucket.alias("__sw_bucket"))
+        counts = narrow.groupBy("__sw_key", "__sw_bucket").agg(F.count("*").alias("n"))
+        before = counts.withColumn("__sw_before", F.sum("n").over(Window.partitionBy("__sw_key").orderBy("__sw_bucket")) - F.col("n")).drop("n")
+        at = F.row_number().over(Window.partitionBy("__sw_key", "__sw_bucket").orderBy("__sw_row"))
+        ranked = narrow.withColumn("__sw_at", at).join(before, ["__sw_key", "__sw_bucket"])
+        per = F.floor(F.col("__sw_copies") / F.col("__sw_m"))
+        odd = (F.col("__sw_at") + F.col("__sw_before") <= F.col("__sw_copies") - per * F.col("__sw_m")).cast("int")
+        takes = ranked.select("__sw_row", (per + odd).cast("int").alias("__sw_take"))
+        out = out.unionByName(again.join(takes, "__sw_row").select(*columns, "__sw_take"))
+    return out.filter("__sw_take > 0").withColumn("__sw_copy", F.explode(F.sequence(F.lit(1), F.col("__sw_take")))).select(*columns)

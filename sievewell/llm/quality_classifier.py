@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
 
-Tokens are lower-cased runs of letters, of digits or of other signs, hashed into ROWS rows. Every row has a fixed sparse
-random index vector (NONZERO entries of +1 or -1 among DIM); a row's word vector is the sum of the index vectors of its
+Tokens are lower-cased runs of letters, of digits, of underscores or of other signs, hashed into ROWS rows (so rare
+words share a row). Every row has a fixed sparse random index vector (NONZERO entries of +1 or -1 among DIM); a row's word vector is the sum of the index vectors of its
 neighbours, up to WINDOW places away, over all documents of the corpus, then weighted down by frequency and
 normalised. A document is pooled into the mean, the spread and the extremes of its tokens' vectors, with the
 length of the mean and the logarithms of its counts. The network (one hidden layer, logistic output) is trained with Adam on a bounded,
@@ -15,22 +15,19 @@ give empty results.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import array_sum
+from .common import array_sum, ddl, texts
 from .labelled import sample_labels, sampled
+from .runs import run_hashes
 
-ROWS, DIM, NONZERO, WINDOW = 1 << 13, 48, 4, 2
+ROWS, DIM, NONZERO, WINDOW = 1 << 15, 48, 4, 2
 SAMPLE, HIDDEN, EPOCHS, BATCH, RATE, DECAY = 4000, 32, 60, 64, 3e-3, 1e-4
 #: Tokens that are counted at once.
-CHUNK = 1 << 18
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+CHUNK = 1 << 19
 FEATURES = 4 * DIM + 4
 
 _rand = np.random.default_rng(20240607)
@@ -38,18 +35,11 @@ _AT = np.argsort(_rand.random((ROWS, DIM)), axis=1)[:, :NONZERO]
 _SIGN = _rand.integers(0, 2, (ROWS, NONZERO)) * 2 - 1
 
 
-class RowHashes(dict):
-    LIMIT = 500_000
-
-    def __missing__(self, w: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        r = self[w] = xxhash.xxh3_64_intdigest(w.encode()) % ROWS
-        return r
-
-
-def token_rows(text: str | None, hashes: RowHashes) -> np.ndarray:
-    return np.array([hashes[w] for w in TOKEN.findall(text.lower())] if text else [], np.int64)
+def token_rows(batch: list[bytes | str | None]) -> list[np.ndarray]:
+    """Rows of the tokens of each text."""
+    counts, hashes = run_hashes(batch, "all but spaces")
+    flat = (hashes[0] >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
+    return np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def context_sums(rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -68,7 +58,6 @@ def corpus_sums(docs: DataFrame, text_col: str) -> np.ndarray | None:
     """Context sums and, after them, token counts of all rows over the whole corpus."""
 
     def run(batches):
-        hashes = RowHashes()
         total = np.zeros(ROWS * DIM + ROWS, np.int64)
         rows: list[np.ndarray] = []
         n = 0
@@ -83,8 +72,7 @@ def corpus_sums(docs: DataFrame, text_col: str) -> np.ndarray | None:
             rows, n = [], 0
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                r = token_rows(t, hashes)
+            for r in token_rows(texts(batch, text_col)):
                 rows.append(r)
                 n += len(r)
                 if n >= CHUNK:
@@ -176,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_co
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches):
-        hashes = RowHashes()
         for batch in batches:
-            x = [pooled(token_rows(t, hashes), shared.value).tobytes() for t in batch.column(2).to_pylist()]
+            x = [pooled(r, shared.value).tobytes() for r in token_rows(texts(batch, "text"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["i", "y", "x"])
 
-    rows = sampled(docs, sample, id_col, text_col).select(F.col("__sw_id").cast("bigint"), F.col("label").cast("int"), "text")
-    got = sorted((r.i, r.y, bytes(r.x)) for r in rows.mapInArrow(features, "i bigint, y int, x binary").collect())
+    rows = sampled(docs, sample, id_col, text_col).select(F.col("__sw_id").alias("i"), F.col("label").cast("int").alias("y"), "text")
+    got = sorted((r.i, r.y, bytes(r.x)) for r in rows.mapInArrow(features, f"{ddl(rows, 'i')}, y int, x binary").collect())
+    shared.destroy()
     y = np.array([r[1] for r in got], float)
     if not len(y) or y.min() == y.max():
         return {"share": share, "net": None}
@@ -198,16 +186,15 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, label_col, id_col, text_col))
     src = docs.select(F.col(text_col).alias("__sw_text"), *[c.alias(n) for n, c in keep.items()])
     names = list(keep)
-    kinds = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep)
 
     def run(batches):
-        m, hashes = shared.value, RowHashes()
+        m = shared.value
         for batch in batches:
             if m["net"] is None:
                 out = np.full(batch.num_rows, m["share"])
             else:
-                x = np.array([pooled(token_rows(t, hashes), m["vectors"]) for t in batch.column(0).to_pylist()], float).reshape(-1, FEATURES)
+                x = np.array([pooled(r, m["vectors"]) for r in token_rows(texts(batch, "__sw_text"))], float).reshape(-1, FEATURES)
                 out = _sigmoid(forward(x, m["net"]) / m["net"]["t"] + m["net"]["shift"])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.float64())], [*names, "score"])
 
-    return src.mapInArrow(run, f"{kinds}, score double")
+    return src.mapInArrow(run, f"{ddl(src, *names)}, score double")

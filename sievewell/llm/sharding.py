@@ -6,8 +6,8 @@ largest spread in opposite order, the heaviest shard of one with the lightest of
 with is one partial partition of small spread; those of many blocks are combined by the same rule, level by level.
 A group larger than a shard's fair part cannot be divided and makes its shard the largest.
 
-Slots count from 0 in each shard without gaps: rows of a shard are dealt to buckets by a hash of their id, each bucket
-is numbered alone, and the buckets' counts give the offsets, so no task holds a whole shard.
+Slots count from 0 in each shard without gaps: rows of a shard are dealt to buckets by their place in the input, each
+bucket is numbered alone, and the buckets' counts give the offsets, so no task holds a whole shard, whatever ids and texts repeat.
 
 Nulls and odd inputs: a null text has 0 bytes, crc 0 and counts as the empty text. Null ids are allowed. Repeated rows
 are one group. Empty tables give empty results. Texts are equal if their SHA-256 are.
@@ -19,17 +19,21 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import few, materialize, remove, spread_join
 
 SHARDS = 40
 OVERHEAD = 16
 #: Groups in a block of the first level, and partial partitions in a block of later levels.
 BLOCK, BLOCK_ABOVE = 20_000, 4_000
-#: Rows of a shard that are numbered in one task, about.
-BUCKET = 50_000
+#: Sums that a block holds, at most (8 bytes each): with many shards blocks get smaller.
+CELLS = 4_000_000
+#: Rows that are broadcast, at most: under 32 MB at up to 128 bytes each, with the overhead of a hash table.
+BROADCAST_ROWS = 250_000
+#: Rows of all shards that share a bucket's number, about; a task numbers those of one shard.
+BUCKET = 1_000_000
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,19 +95,18 @@ def _above(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(digest, shard) for groups (digest, bytes)."""
+    block, above_block = (max(2, min(most, CELLS // shards)) for most in (BLOCK, BLOCK_ABOVE))
     n = groups.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // block))
     blocked = groups.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)).cast("int"))
     placed, _ = materialize(blocked.groupBy("block").applyInPandas(_first(shards), "digest binary, block int, label int, sums array<bigint>"), "blocks")
     out = placed.select("digest", "block", "label")
     sums = placed.filter("sums is not null").select("block", "sums")
     while blocks > 1:
-        above = -(-blocks // BLOCK_ABOVE)
+        above = -(-blocks // above_block)
         level = sums.withColumn("up", F.pmod("block", F.lit(above)).cast("int"))
         done, _ = materialize(level.groupBy("up").applyInPandas(_above, "block int, up int, labels array<bigint>, sums array<bigint>"), "levels")
-        table = done.select("block", "up", "labels")
-        if blocks <= 20_000:  # 40 numbers a block
-            table = F.broadcast(table)
+        table = few(done.select("block", "up", "labels"), CELLS // shards)  # shards numbers a block
         out = out.join(table, "block").select("digest", F.col("up").alias("block"), F.col("labels")[F.col("label")].cast("int").alias("label"))
         sums = done.filter("sums is not null").select(F.col("up").alias("block"), "sums")
         blocks = above
@@ -114,21 +117,17 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """The columns ``keep`` (the id, by default), size, text_crc32, law, shard, slot and grown_shard for every row."""
     keep = keep if keep is not None else [id_col]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(*[F.col(c).alias(f"__in_{c}") for c in keep], F.xxhash64(id_col).alias("id_hash"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    rows, _ = materialize(rows, "rows")
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    placed = rows.join(assign(groups, shards), "digest")
-    buckets = max(1, -(-rows.count() // (BUCKET * 4)))
-    placed, _ = materialize(placed.withColumn("bucket", F.pmod(F.xxhash64("id_hash", F.lit(1)), F.lit(buckets)).cast("int")).drop("digest", "id_hash"), "placed")
+    rows = docs.select(*[F.col(c).alias(f"__in_{c}") for c in keep], F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows, rows_path = materialize(rows, "rows")
+    groups, groups_path = materialize(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
+    assigned, assigned_path = materialize(assign(groups, shards).join(groups.select("digest", "rows"), "digest"), "assigned")
+    placed = spread_join(rows, assigned, "digest", "rows", F.xxhash64("row"), bound=BROADCAST_ROWS)
+    buckets = max(1, -(-rows.count() // BUCKET))
+    placed, _ = materialize(placed.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")).drop("digest"), "placed")
+    remove(docs.sparkSession, rows_path, groups_path, assigned_path)
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    offsets = counts.select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.expr("sum(n) over (partition by shard order by bucket) - n").alias("before"))
-    first = F.col(f"__in_{keep[0]}") if keep else F.col("size")
-    numbered = placed.withColumn("at", F.expr("row_number() over (partition by shard, bucket order by text_crc32, size)") if not keep else F.row_number().over(_window(first)))
-    out = numbered.join(offsets, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    offsets = counts.select("shard", "bucket", before.alias("before"))
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("row")))
+    out = numbered.join(offsets, ["shard", "bucket"])
     return out.select(*[F.col(f"__in_{c}").alias(c) for c in keep], *[F.col(c) for c in ("size", "text_crc32") if c not in keep], F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _window(first):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard", "bucket").orderBy(first, "text_crc32", "size")

@@ -9,8 +9,9 @@ Of records with equal payloads (by SHA-1) the one with the smallest page id is a
 payloads under ``least`` bytes are always responses.
 
 A task writes whole archives of bounded size under names of its own; the manifest lists those of tasks that succeeded,
-so lost executors and repeated attempts leave files that nobody reads. Folders may be of any kind that pyarrow opens
-(local or shared paths, HDFS with its client library, object stores).
+so lost executors and repeated attempts leave files that nobody reads. Spark resolves the folder's name (by its default
+file system, where the name has none), and pyarrow opens what it resolves to: shared paths, S3, Google and Azure stores,
+and HDFS and viewfs with its client library.
 
 Nulls and odd inputs: a null payload is the empty payload. A null id is larger than any other; where all ids of a
 payload are null, and where several rows have the smallest id, all of these rows are responses. A null url is written
@@ -45,6 +46,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: Bytes of records in an archive, about; bytes of an archive that one task reads; gap that is read over.
 ARCHIVE_BYTES, CHUNK_BYTES, GAP = 32 << 20, 8 << 20, 64 << 10
+#: Tasks that read archives, at most.
+MOST_TASKS = 20_000
 #: Up to so many payloads that occur more than once are broadcast (40 bytes each); more are joined by a shuffle.
 BROADCAST_PAYLOADS = 500_000
 
@@ -59,10 +62,24 @@ def base32_sha1(c: Column) -> Column:
     return F.concat(*out)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark resolves it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
+# Names that the same stores have in Spark and in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfss", "abfs": "abfs"}
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path:
-        path = "file://" + path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path)
+    """The file system of a path with a scheme, and the path in it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{path} has no scheme; see qualified()")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 # --- writing ----------------------------------------------------------------------------------------------------
@@ -109,6 +126,7 @@ def _urn(page_id: int | None) -> str:
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Writes a record for every row into archives in ``folder``; returns their manifest (path, records, bytes)."""
+    folder = qualified(pages.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]):
         store, at = opened(folder)
@@ -249,7 +267,9 @@ RECORDS = "page_id bigint, record_type string, url string, payload binary, paylo
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row for every record of the archives listed in ``manifest`` (path); digests of responses are recomputed and compared."""
+    """A row for every record of the archives listed in ``manifest`` (path, bytes); digests of responses are recomputed and compared."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    tasks = min(MOST_TASKS, -(-total // CHUNK_BYTES) + 1)  # else adaptive execution joins the ranges, which are short rows
 
     def ranges(batches):
         for batch in batches:
@@ -303,8 +323,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         if f:
             f.close()
 
-    listed = manifest.select("path").repartition("path").mapInArrow(ranges, "path string, start bigint, length bigint")
-    dealt = listed.repartition("path", F.floor(F.col("start") / CHUNK_BYTES)).sortWithinPartitions("path", "start")
+    listed = manifest.select("path").repartition(tasks, "path").mapInArrow(ranges, "path string, start bigint, length bigint")
+    dealt = listed.repartition(tasks, "path", F.floor(F.col("start") / CHUNK_BYTES)).sortWithinPartitions("path", "start")
     return dealt.mapInArrow(records, RECORDS)
 
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievewell.llm import components, decontaminate, language, minhash, mixing, quality_rules, queries, sharding, toxicity, warc
+from sievewell.llm import common, components, decontaminate, language, minhash, mixing, quality_rules, queries, runs, sharding, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels".split()
@@ -80,14 +80,32 @@ def family(size, edits, seed=1):
     return out
 
 
-@pytest.mark.parametrize("pairs_a_doc", [50, 0])
-def test_half_similar_family(spark, pairs_a_doc, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_A_DOC", pairs_a_doc)
+@pytest.mark.parametrize(("small", "together", "broadcast"), [(10**9, 1.0, 250_000), (1, 1e9, 250_000), (1, 0.0, 250_000), (20, 1.0, 0)])
+def test_half_similar_family(spark, small, together, broadcast, monkeypatch):
+    """By joined pairs, by blocks of clusters, by blocks of buckets, and with salted joins in place of broadcasts."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "TOGETHER", together)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(common, "ROWS_A_SALT", 30)
     texts = family(150, 12)
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == expected_components(texts)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_spread_join(spark, how, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_A_SALT", 7)
+    left = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(70)], "k int, x int")
+    right = spark.createDataFrame([(0, "a"), (2, "b"), (2, "c"), (65, "d"), (99, "e")], "k int, y string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    sizes = right.join(left.groupBy("k").agg(F.count("*").alias("n")), "k")
+    plain = key(left.join(right, "k", how))
+    assert key(common.spread_join(left, right, "k", None, F.xxhash64("x"), how, bound=0)) == key(common.spread_join(left, right, ["k"], None, F.xxhash64("x"), how)) == plain
+    if how == "inner":
+        assert key(common.spread_join(left, sizes, "k", "n", F.xxhash64("x"), how, bound=0)) == plain
+
+
 def test_estimate():
     rnd = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.75, 0.9):
@@ -106,7 +124,10 @@ def test_shingles_split_on_ascii_space_only():
     assert not (minhash.shingles("É b c d e".encode(), h) == minhash.shingles("é b c d e".encode(), h)).any()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_components(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", broadcast)
+    monkeypatch.setattr(common, "ROWS_A_SALT", 20)
     rnd = random.Random(8)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 960)]
     parent = {x: x for p in pairs for x in p}
@@ -126,6 +147,69 @@ def test_components(spark):
 # --- decontamination ---
 
 
+def find(items, text):
+    """(item, start, end, equal) of the overlaps of one text (hashes of tokens) with items, through seeds; no Spark."""
+    table = {}
+    for i, x in enumerate(items):
+        masks = decontaminate.masks_for(len(x))
+        for m, h in zip(masks, decontaminate.masked(x, masks), strict=True):
+            for at, seed in enumerate(h.tolist()):
+                table.setdefault(seed, []).append((i, at))
+
+    class Everything:
+        passing = staticmethod(lambda h: np.arange(len(h)))
+
+    masks = sorted({m for x in items for m in decontaminate.masks_for(len(x))})
+    _, at, seed = decontaminate.window_hits(np.array([len(text)]), text, masks, Everything)
+    found = {(i, p - q) for p, h in zip(at.tolist(), seed.tolist(), strict=True) for i, q in table.get(h, [])}
+    return sorted((i, *seg) for i, d in found if (seg := decontaminate.verify(text, items[i], d)))
+
+
+def brute_force(items, text):
+    """Items that the rule finds on any diagonal, without seeds."""
+    out = set()
+    for i, x in enumerate(items):
+        if len(x) < decontaminate.LEAST_ITEM:
+            out |= {i} if len(x) and len(x) == len(text) and (x == text).all() else set()
+            continue
+        p, q = np.nonzero(text[:, None] == x[None, :])
+        diagonals, n = np.unique(p - q, return_counts=True)
+        least = decontaminate.least_length(len(x))
+        for d in diagonals[n >= 0.8 * least].tolist():
+            a, b = max(0, -d), min(len(x), len(text) - d)
+            sums = np.concatenate([[0], np.cumsum(x[a:b] == text[a + d : b + d])]) * 5 - 4 * np.arange(b - a + 1)
+            if b - a >= least and (sums[least:] >= np.minimum.accumulate(sums)[: len(sums) - least]).any():
+                out.add(i)
+    return out
+
+
+def one(text):
+    return decontaminate.tokens([text])[1]
+
+
+def test_masks_miss_nothing():
+    """Every way to place as many substitutions as the rule allows in 13 to 25 tokens leaves a window of a mask untouched."""
+    assert decontaminate.MIN_TOKENS == 13 and decontaminate.MIN_AGREE == 0.8
+    for n in range(13, 26):
+        ways = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)], np.int64)
+        found = np.zeros(len(ways), bool)
+        for m in decontaminate.MASKS:
+            v = sum(1 << i for i, c in enumerate(m) if c == "1")
+            for at in range(n - len(m) + 1):
+                found |= ways & (v << at) == 0
+        assert found.all(), n
+
+
+def test_decontaminate_query(spark):
+    """The registered query against brute force over all diagonals and segments, whole tables."""
+    items = {r[0]: one(r[1] or "") for r in rows("benchmark")}
+    texts = {r[0]: one(r[1] or "") for r in rows("documents")}
+    names = list(items)
+    got = {r.doc_id: (r.contaminated, set(r.item_ids)) for r in queries.op3_decontaminate(spark, FOLDER).collect()}
+    right = {i: {names[j] for j in brute_force(list(items.values()), w)} for i, w in texts.items()}
+    assert got == {i: (bool(x), x) for i, x in right.items()} and any(right.values())
+
+
 def test_substituted_passages(spark):
     rnd = random.Random(2)
     item = [f"t{rnd.randrange(500)}" for _ in range(40)]
@@ -144,27 +228,60 @@ def test_substituted_passages(spark):
     bench = spark.createDataFrame([(5, ", ".join(item)), (6, "three small words here now")], "item_id bigint, text string")
     got = decontaminate.judge(spark.createDataFrame(docs, "doc_id bigint, text string"), bench)
     assert {r.doc_id: r.contaminated for r in got.collect()} == expect
-    s = got.filter("contaminated").first().spans[0]
-    assert s.item_id == 5 and (s.start, s.end) == (50, 90) or s.end - s.start >= 30
+    for s in (r.spans[0] for r in got.filter("contaminated").collect()):
+        assert s.item_id == 5 and (s.start, s.end, s.equal) == (50, 89, 35)  # the last token is another
 
 
-def test_blocks_of_seeds(spark, monkeypatch):
+def test_without_broadcasts(spark, monkeypatch):
+    """Salted joins in place of broadcasts, a filter that lets most windows pass, small chunks: the result is the same."""
     docs, bench = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    key = lambda: sorted((r.doc_id, r.contaminated, tuple(r.item_ids)) for r in decontaminate.judge(docs, bench).collect())
+    key = lambda: sorted((r.doc_id, r.contaminated, tuple(r.item_ids), r.overlap_tokens) for r in decontaminate.judge(docs, bench).collect())
     whole = key()
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 500)
-    assert key() == whole and any(x for _, x, _ in whole)
+    for name, value in (("FILTER_BITS", 8), ("LEAST_BITS", 8), ("BROADCAST_ROWS", 0), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(decontaminate, name, value)
+    monkeypatch.setattr(common, "ROWS_A_SALT", 50)
+    assert key() == whole and any(x for _, x, *_ in whole)
+    assert decontaminate.drop_contaminated(docs, bench).count() == sum(not x for _, x, *_ in whole)
+
+
+def test_chunks(monkeypatch):
+    """Chunks of tokens cut nothing, and windows do not reach into the next document."""
+    flat = np.random.default_rng(2).integers(1, 40, 5000).astype(np.uint64)
+    counts = np.array([0, 3, 13, 2000, 0, 1, 2900, 83, 0])
+    assert counts.sum() == 5000
 
+    class Some:
+        passing = staticmethod(lambda h: np.flatnonzero(h % np.uint64(7) == 0))
 
-def test_decontaminate_against_exact_windows():
-    """Whatever shares eight tokens in a row with an item over MIN_TOKENS tokens long has a seed there."""
+    found = []
+    for size in (1 << 16, 64):
+        monkeypatch.setattr(decontaminate, "CHUNK", size)
+        found.append(sorted(zip(*(x.tolist() for x in decontaminate.window_hits(counts, flat, list(decontaminate.MASKS), Some)), strict=True)))
+    assert found[0] == found[1]
+    shortest = min(map(len, decontaminate.MASKS))
+    assert all(p + shortest <= counts[d] or counts[d] < decontaminate.LEAST_ITEM for d, p, _ in found[0]) and {d for d, *_ in found[0]} >= {1, 3, 5, 6}
+
+
+def test_exact_windows():
+    """Whatever shares thirteen tokens in a row with an item is found there, wherever in the item they are."""
     rnd = random.Random(9)
-    h = decontaminate._TokenHashes()
-    item = decontaminate.tokens(" ".join(f"t{rnd.randrange(99)}" for _ in range(60)), h)
-    seeds = decontaminate.Seeds([(1, item)])
-    for a in range(0, 45):
-        text = np.concatenate([decontaminate.tokens("x y z", h), item[a : a + 14], decontaminate.tokens("p q r", h)])
-        assert any(s <= 3 and e >= 17 for _, s, e, _ in seeds.find(text)) or a + 14 > 60
+    item = one(" ".join(f"t{rnd.randrange(99)}" for _ in range(60)))
+    for a in range(47):
+        text = np.concatenate([one("x y z"), item[a : a + 14], one("p q r")])
+        n = min(14, 60 - a)
+        assert any(s <= 3 and e >= 3 + n for _, s, e, _ in find([item], text))
+
+
+def test_random_substitutions():
+    """Items of any length with random substitutions, against brute force over all segments."""
+    rnd = np.random.default_rng(12)
+    for k in range(400):
+        n = int(rnd.integers(5, 60))
+        item = rnd.integers(1, 2**60, n).astype(np.uint64)
+        part = np.where(rnd.random(n) < (0.1, 0.15, 0.2, 0.25)[k % 4], np.uint64(7), item)
+        a = int(rnd.integers(0, n // 2))
+        text = np.concatenate([np.full(9, 3, np.uint64), part[a:], np.full(9, 4, np.uint64)])
+        assert bool(find([item], text)) == bool(brute_force([item], text)), k
 
 
 def test_any_segment_counts():
@@ -178,23 +295,22 @@ def test_any_segment_counts():
         right = {(a, b) for a in range(n) for b in range(a + least, n + 1) if 5 * (sums[b] - sums[a]) >= 4 * (b - a)}
         got = decontaminate.verified_segment(equal, least)
         assert (got is None) == (not right) and (got is None or (got[:2] in right and got[2] == sums[got[1]] - sums[got[0]]))
-    h = decontaminate._TokenHashes()
     item = [f"t{i}" for i in range(53)]
     changed = [13 + 10 * r + j for r in range(4) for j in (0, 3, 6)]
     text = ["changed" if i in changed else t for i, t in enumerate(item)]
-    assert decontaminate.Seeds([(1, decontaminate.tokens(" ".join(item), h))]).find(decontaminate.tokens(" ".join(text), h))
+    assert find([one(" ".join(item))], one(" ".join(text)))
+    assert find([one(" ".join(item[:51]))], one(" ".join(t if i in (*range(13), *range(19, 32), *range(38, 51)) else "other" for i, t in enumerate(item[:51]))))
 
 
 def test_short_items():
     """Items of 5 to 12 tokens with substitutions are found where brute force over all segments finds them."""
     rnd = np.random.default_rng(8)
     for n in range(5, 13):
-        item = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919)
-        seeds, least = decontaminate.Seeds([(1, item)]), decontaminate.least_length(n)
+        item, least = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7919), decontaminate.least_length(n)
         for equal in [np.arange(n) != k for k in range(n)] + [rnd.random(n) >= 0.2 for _ in range(60)]:
             text = np.concatenate([np.full(9, 3, np.uint64), np.where(equal, item, np.uint64(5)), np.full(9, 3, np.uint64)])
             right = any(5 * equal[a:b].sum() >= 4 * (b - a) for a in range(n) for b in range(a + least, n + 1))
-            assert bool(seeds.find(text)) == right, (n, equal)
+            assert bool(find([item], text)) == right, (n, equal)
 
 
 # --- quality rules ---
@@ -221,10 +337,42 @@ def test_risk_is_controlled(spark):
 # --- mixing and sharding ---
 
 
-def test_targets():
-    t = mixing.targets({"b": 100.0, "a": 100.0, None: 100.0})
-    assert t == {"a": 200.0, "b": pytest.approx(250 * 2 / 3), None: pytest.approx(250 / 3)} and sum(t.values()) == pytest.approx(450)
-    assert mixing.targets({"a": 0.0}) == {"a": 0.0} and mixing.targets({}) == {}
+def targets(sizes, weights=(5.0, 2.0, 1.0)):
+    """Targets source by source, by sharing again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, opened, out = 1.5 * sum(sizes.values()), list(names), {}
+    while opened:
+        unit = left / sum(weight[s] for s in opened)
+        over = [s for s in opened if weight[s] * unit > 2 * sizes[s]]
+        out |= {s: 2.0 * sizes[s] for s in over} or {s: weight[s] * unit for s in opened}
+        left -= sum(2 * sizes[s] for s in over)
+        opened = [s for s in opened if s not in out]
+    return out
+
+
+def test_targets(spark):
+    rnd = random.Random(5)
+    for sizes in ({"b": 100, "a": 100, None: 100}, {"a": 0}, {"é": 5, "z": 7, "Z": 100_000, "": 3, None: 0}, {f"s{i}": rnd.randrange(10**rnd.randrange(1, 6)) for i in range(300)}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, size bigint")
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        assert got == pytest.approx(targets(sizes))
+    assert mixing.targets(df.limit(0)).count() == 0
+    assert targets({"b": 100, "a": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 * 2 / 3), None: pytest.approx(250 / 3)}
+
+
+def test_repeated_keys(spark, monkeypatch):
+    """Most rows share id, source and size: blocks and numbering are split, totals stay near their targets."""
+    for name, value in (("BLOCK", 50), ("LANDING", 30), ("ROWS_A_SALT", 40), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(mixing, name, value)
+    data = [(None, "five words are in here", "s")] * 700 + [(7, "five words are in here", "t")] * 300 + [(i, "w " * (1 + i % 30), "st"[i % 2]) for i in range(100, 400)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    c = mixing.copies(df)
+    for r in c.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 40
+    m = mixing.mixed(df)
+    want = {(r.doc_id, r.source): r.n for r in c.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    assert {(r.doc_id, r.source): r.n for r in m.groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()} == {k: n for k, n in want.items() if n}
 
 
 def test_flight_balances():
@@ -245,7 +393,7 @@ def test_mixing_query(spark):
     sizes = collections.Counter()
     for i, t, _, src, _ in docs.values():
         sizes[src] += len(WORD.findall(t or ""))
-    aims = mixing.targets({s: float(n) for s, n in sizes.items()})
+    aims = targets(sizes)
     for r in got:
         assert r.size == len(WORD.findall(docs[r.doc_id][1] or "")) and r.source_size == sizes[docs[r.doc_id][3]] and r.target == pytest.approx(aims[docs[r.doc_id][3]])
         assert r.taken % max(1, r.size) == 0 and r.taken <= 2 * r.size
@@ -355,24 +503,71 @@ def test_label_accuracy(spark, name, label, cut):
     assert np.mean([r.predicted == y[r.doc_id] for r in got if r.held_out and r.doc_id in y]) > 0.9
 
 
-def test_block_max_search_is_exact():
+def brute_cosines(vectors, terms):
+    dense = np.zeros((len(vectors), terms))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    return dense
+
+
+@pytest.mark.parametrize(("dense", "block", "first"), [(0, 32, 4), (40, 32, 1), (40, 7, 2), (200, 32, 4)])
+def test_block_max_search_is_exact(dense, block, first, monkeypatch):
+    for name, value in (("DENSE", dense), ("BLOCK", block), ("FIRST", first)):
+        monkeypatch.setattr(toxicity, name, value)
     rnd = np.random.default_rng(6)
     vectors = []
-    for _ in range(500):
-        t = np.sort(rnd.choice(200, 12, replace=False))
-        w = rnd.random(12)
-        vectors.append((t, w / np.linalg.norm(w)))
-    ids = rnd.permutation(10_000)[:500]
+    for k in range(500):
+        t = np.sort(rnd.choice(200, 12, replace=False, p=np.arange(200, 0, -1) / 20100))
+        w = rnd.random(12) * (1 + t / 20)
+        vectors.append((t, w / np.linalg.norm(w)) if k % 50 else vectors[-1] if vectors else (t, w / np.linalg.norm(w)))
+    ids = rnd.permutation(10_000)[:500].tolist()
     index = toxicity.Index(ids, rnd.integers(0, 2, 500), vectors, 200)
-    dense = np.zeros((500, 200))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    for q in range(0, 500, 25):
-        at, cos = index.nearest(*vectors[q], 16, q)
-        exact = dense @ dense[q]
+    all_ = brute_cosines(vectors, 200)
+    got = index.search(vectors, 16, list(range(500)))
+    for q in range(500):
+        exact = np.round(all_ @ all_[q], 12)
         exact[q] = -1
-        order = np.lexsort((ids, -np.round(exact, 12)))[:16]
-        assert at.tolist() == [i for i in order.tolist() if exact[i] > 0] and np.allclose(cos, exact[at])
+        order = np.lexsort((ids, -exact))[:16]
+        at, cos = got[q]
+        assert [index.ids[i] for i in at] == [ids[i] for i in order if exact[i] > 0] and np.allclose(cos, exact[order][exact[order] > 0])
+
+
+def test_toxicity_query(spark):
+    """score() against cosines, neighbours and votes by brute force over words of whole texts, weights taken from the model."""
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    everything = F.lit(True)
+    m = toxicity.fit(docs, labels, everything, "toxic", "doc_id", "text")
+    texts, label = {r[0]: r[1] or "" for r in rows("documents")}, {r[0]: r[2] for r in rows("labels")}
+    forms = lambda t: collections.Counter(f for w in re.findall(r"[^\W\d_]+", t.lower()) for f in (w, *(w[:n] + "*" for n in (4, 5) if len(w) > n)))
+    counts = {i: forms(t) for i, t in texts.items()}
+    n = len(texts)
+    toxic = [i for i in label if label[i] and i in texts]
+    share = np.mean([label[i] for i in label])
+    df, with_ = collections.Counter(), collections.Counter()
+    for c in counts.values():
+        df.update(c.keys())
+    for i in toxic:
+        with_.update(counts[i].keys())
+    known = {t for i in label if i in counts for t in counts[i]}
+    idf = lambda t: np.log((n * (1 - share) + 2) / (min(max(0, df[t] - n * share * with_[t] / len(toxic)), n * (1 - share)) + 1))
+    vec = {}
+    for i, c in counts.items():
+        v = {t: (1 + np.log(k)) * idf(t) ** toxicity.POWER for t, k in c.items()}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1
+        vec[i] = {t: x / norm for t, x in v.items()}
+    got = {r.doc_id: r for r in toxicity.score(docs, labels, everything).collect()}
+    a, b = m["curve"]
+    for i in texts:
+        cos = {j: sum(x * vec[j][t] for t, x in vec[i].items() if t in vec[j]) for j in label if j in vec}
+        best = sorted((j for j in cos if cos[j] > 1e-12), key=lambda j: (-round(cos[j], 9), j))[: toxicity.NEIGHBOURS]
+        e = got[i].evidence
+        # terms that no example has share the frequencies of buckets, which moves norms, and so all cosines of a text, a little
+        ratio = [x.cosine / cos[j] for x, j in zip(e, best, strict=True)]
+        assert np.allclose(ratio, ratio[:1] * len(best), rtol=1e-6) and (i in label or abs(ratio[0] - 1) < 0.05 if e else not best), (i, ratio, [x.doc_id for x in e], best)
+        assert i not in label or np.allclose(ratio, 1)
+        vote = sum(x.cosine * x.label for x in e) / (sum(x.cosine for x in e) + toxicity.DOUBT)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(a * vote + b)))) and all(x.label == label[x.doc_id] for x in e)
+        assert bool(e) == any(t in known and idf(t) > 0 for t in counts[i])
 
 
 def test_toxicity_over_all_terms(spark):
@@ -387,15 +582,25 @@ def test_toxicity_over_all_terms(spark):
     assert [x.doc_id for x in got[201].evidence] == [101] and got[202].evidence == [] and got[200].score > got[202].score
 
 
-def test_dense_part_changes_nothing(monkeypatch):
-    rnd = np.random.default_rng(3)
-    vectors = [(np.sort(rnd.choice(300, 20, replace=False)), rnd.random(20)) for _ in range(200)]
-    found = []
-    for n in (0, 50, 300):
-        monkeypatch.setattr(toxicity, "DENSE", n)
-        index = toxicity.Index(np.arange(200), rnd.integers(0, 2, 200), vectors, 300)
-        found.append([[x.tolist() for x in index.nearest(*v, 16)] for v in vectors])
-    assert all([a for a, _ in f] == [a for a, _ in found[0]] and np.allclose([c for _, c in f], [c for _, c in found[0]]) for f in found)
+def test_run_hashes():
+    """Runs as regular expressions find them, one hash for each word, prefixes only of longer words, any cut into slices."""
+    rnd = random.Random(3)
+    texts = [t for _, t, *_ in rows("documents")][:60] + [None, "", "   ", "a", "İstanbul STRASSE straße ½ x_y 12a", "ab" * 40_000, "".join(rnd.choice("aé1_ \n.") for _ in range(9000))]
+    for kind, pattern in (("letters", None), ("letters and digits", r"[^\W_]+"), ("all but spaces", None)):
+        cls = {"letters": str.isalpha, "letters and digits": str.isalnum, "all but spaces": lambda c: 0 if c.isspace() or c == "\0" else 1 if c.isalpha() else 2 if c.isdecimal() else 4 if c == "_" else 3}[kind]
+        words = [["".join(g) for k, g in itertools.groupby((t or "").lower(), cls) if k] for t in texts]
+        assert pattern is None or words == [re.findall(pattern, (t or "").lower()) for t in texts]
+        for size in (runs.SLICE, 50):
+            runs.SLICE, was = size, runs.SLICE
+            counts, (h, four) = runs.run_hashes([t.encode() if t and len(t) % 2 else t for t in texts], kind, (4,))
+            runs.SLICE = was
+            flat = [w for ws in words for w in ws]
+            assert counts.tolist() == [len(ws) for ws in words]
+            assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+            assert all((x > 0) == (len(w) > 4) for w, x in zip(flat, four.tolist(), strict=True)) and len({(w[:4], x) for w, x in zip(flat, four.tolist(), strict=True) if x}) == len({w[:4] for w in flat if len(w) > 4})
+    known = np.unique(np.random.default_rng(1).integers(1, 2**63, 5000).astype(np.uint64))
+    look = runs.Lookup(known)
+    assert (look.places(known) == np.arange(len(known))).all() and (look.places(np.array([1, 2, 3], np.uint64)) == -1).all() and len(runs.Lookup(known[:0]).places(known)) == len(known)
 
 
 def test_temperature():
