@@ -188,10 +188,12 @@ def run(spark: SparkSession, reply: str, settings: Settings = Settings()) -> Exe
     timer.daemon = True
     sc.addJobTag(tag)
     try:
+        timer.start()
         df = spark.sql(sql)
         if settings.sql_scan_budget_bytes and (n := estimated_bytes(df)) > settings.sql_scan_budget_bytes:
             return Execution(sql, error=f"exceeded the scan budget: {n} bytes of {settings.sql_scan_budget_bytes}")
-        timer.start()
+        if tripped.is_set():  # planning took the time
+            return Execution(sql, error=f"exceeded {settings.sql_timeout_s:g} s", seconds=time.monotonic() - began)
         rows = [tuple(r) for r in df.limit(settings.sql_max_rows).collect()]
         return Execution(sql, df.columns, rows, seconds=time.monotonic() - began)
     except Exception as e:

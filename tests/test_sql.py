@@ -52,11 +52,12 @@ def test_run(spark):
 
 def test_guards(spark):
     began = time.monotonic()
-    done = sql_gate.run(spark, "SELECT sum(a.id * b.id) AS s FROM range(1000000) a CROSS JOIN range(1000000) b", Settings(sql_timeout_s=1.0))
+    done = sql_gate.run(spark, "SELECT sum(CAST(a.id AS DOUBLE) * b.id) AS s FROM range(1000000) a CROSS JOIN range(1000000) b", Settings(sql_timeout_s=1.0))
     assert not done.ok and "exceeded" in done.error and time.monotonic() - began < 30
     catalog.demo_sales(spark)
     assert "scan budget" in sql_gate.run(spark, "SELECT * FROM sales", Settings(sql_scan_budget_bytes=1)).error
-    assert sql_gate.run(spark, "SELECT 1 AS x").rows == [(1,)]
+    # cancelled tasks may hold their cores for some seconds more
+    assert sql_gate.run(spark, "SELECT 1 AS x", Settings(sql_timeout_s=60.0)).rows == [(1,)]
 
 
 def test_schema(spark):
