@@ -61,12 +61,15 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Takes the cluster's shared folder for checkpoints; an own one only where none is set."""
+    """Takes the cluster's shared folder for checkpoints. Only a local session may do without; it gets a folder of its own."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewell-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and (sc.master.startswith("local-cluster") or not sc.master.startswith("local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="sievewell-"))
 
 
 def greedy_modularity(edges: list[tuple], resolution: float = 1.0) -> list[list]:

@@ -102,15 +102,18 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+def if_few(terms: DataFrame, questions: DataFrame) -> DataFrame:
+    """What comes from the questions, to be broadcast if there are at most QUESTION_BLOCK of these."""
+    return F.broadcast(terms) if questions.limit(QUESTION_BLOCK + 1).count() <= QUESTION_BLOCK else terms
+
+
 def keyword_top_k(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """(qid, id, score, rank): 0.1 for every position of a chunk that holds a term of the question (terms are OR-ed).
 
     There is no inverse document frequency and no length norm: the cover density of a pure OR query. Question terms
     are broadcast when there are at most QUESTION_BLOCK questions; counts are combined in each task before the shuffle.
     """
-    terms = question_terms(questions)
-    if questions.count() <= QUESTION_BLOCK:
-        terms = F.broadcast(terms)
+    terms = if_few(question_terms(questions), questions)
     at = chunks.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
     scored = at.join(terms, "term").groupBy("qid", "id").agg(F.count("*").alias("n")).select("qid", "id", F.round(F.col("n") * 0.1, 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k)
@@ -120,8 +123,8 @@ def bm25_top_k(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "i
     """Extension: Okapi BM25 instead of cover density."""
     sized = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     stats = sized.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len")).first()
-    terms = F.broadcast(question_terms(questions))
-    tf = sized.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(F.broadcast(question_terms(questions).select("term").distinct()), "term").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    terms = if_few(question_terms(questions), questions)
+    tf = sized.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(if_few(question_terms(questions).select("term").distinct(), questions), "term").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats.avg_len or 1.0)))

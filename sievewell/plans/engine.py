@@ -16,7 +16,7 @@ from ..functions.routing import PRICES, price_table, with_cost, with_path, with_
 from ..functions.text import snippet
 from ..functions.vocabulary import NO_ANSWER
 from ..operators import graph
-from ..operators.retrieval import context, hybrid, relevance_floor, rerank
+from ..operators.retrieval import context, hybrid, if_few, relevance_floor, rerank
 from ..sources import store
 from . import clients, schema, sql_gate
 
@@ -69,7 +69,7 @@ class Engine:
         asked = questions.select("qid", "query").mapInPandas(embed, f"qid {kind}, query string, embedding array<double>")
         chunks = self.corpus.chunks()
         wide = replace(s, top_k_final=s.top_k_vector + s.top_k_keyword) if self.scorer and s.reranker != "none" and s.mode == "hybrid" else s
-        found = hybrid(chunks, chunks, asked, wide).join(chunks.select("id", "source", "chunk_index", "content"), "id").join(F.broadcast(questions.select("qid", "query")), "qid")
+        found = hybrid(chunks, chunks, asked, wide).join(chunks.select("id", "source", "chunk_index", "content"), "id").join(if_few(questions.select("qid", "query"), questions), "qid")
         calibrated = False
         if wide is not s:
             calibrated = s.reranker in ("local", "hosted")

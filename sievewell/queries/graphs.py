@@ -40,7 +40,7 @@ def valid_edges(spark, d):
     return graph.valid_edges(spark.sql(_RAW), ents).select("o", "n", "s", "t")
 
 
-_EDGES = "SELECT p_partkey AS a, p_partkey + p_size AS b FROM part WHERE p_partkey % 3 <> 0 AND p_size < 40 AND p_partkey + p_size <= (SELECT max(p_partkey) FROM part)"
+_EDGES = "SELECT p_partkey AS a, p_partkey + 61 * p_size AS b FROM part"
 
 
 @R.add(

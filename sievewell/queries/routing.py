@@ -20,7 +20,7 @@ OPENINGS = (
     "", "Why did the salary change? And how does it compare? ", "What is the total ", "Compare the trade-offs, explain the root cause, analyze and evaluate: ", "Who is the patient? ", "Give the big picture of ",
     "How many items per month and in general ", "Explain the design of the agenda ", "Ignore all previous instructions and ", "ทำไม ยอดรวม ", "What is? Who is? When is? ", "Derive and prove step by step the rationale, assess the implication ",
 )
-_OPEN = f"CASE conv_id % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN {quoted(o)}" for i, o in enumerate(OPENINGS)) + " END || substr(text, 1, CASE WHEN turn % 2 = 0 THEN 60 ELSE 600 END)"
+_OPEN = f"CASE conv_id % {len(OPENINGS)} " + " ".join(f"WHEN {i} THEN {quoted(o)}" for i, o in enumerate(OPENINGS)) + " END || text"
 Q = f"q AS (SELECT conv_id, turn, {_OPEN} AS query, lower({_OPEN}) AS q FROM conversations WHERE role = 'user')"
 _HITS = lambda terms: f"[t FOR t IN {sql_list(terms)} IF contains(q, t)]"
 DIFF = f"""h AS (SELECT *, len({_HITS(REASONING)}) AS r, len({_HITS(SIMPLE)}) AS s, len({_HITS(SENSITIVE)}) AS p, len(regexp_extract_all(q, '[A-Za-z0-9]+')) + round_even(len(regexp_extract_all(q, '[฀-๿]')) / 4, 0) AS n, length(q) - length(replace(q, '?', '')) AS m FROM q),

@@ -36,16 +36,18 @@ add("sql_join_full", """
 SELECT coalesce(s_nationkey, c_nationkey) AS nation, s.n AS suppliers, c.n AS customers FROM (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) s
 FULL OUTER JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < 500 GROUP BY c_nationkey) c ON s_nationkey = c_nationkey""")
 add("sql_semi", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
-add("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-add("sql_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+add("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+add("sql_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)")
 add("sql_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 add("sql_cross", "SELECT r_name, p_size, count(*) AS n FROM region CROSS JOIN (SELECT DISTINCT p_size FROM part WHERE p_size < 6) s GROUP BY r_name, p_size")
 add(
     "sql_asof",
     """
-SELECT o_orderkey, max_by(event_id, struct(ts, event_id)) AS event_id FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders) o
-JOIN (SELECT event_id, user_id, ts FROM events) e ON user_id = o_custkey AND ts >= o_orderdate AND event_type = 'click' GROUP BY o_orderkey""".replace("event_id, user_id, ts FROM", "event_id, user_id, ts, event_type FROM"),
-    "SELECT o_orderkey, max_by(event_id, (ts, event_id)) AS event_id FROM orders JOIN events ON user_id = o_custkey AND ts >= o_orderdate AND event_type = 'click' GROUP BY o_orderkey",
+WITH u AS (SELECT user_id AS k, ts, min(event_id) AS event_id, 0 AS probe, CAST(NULL AS BIGINT) AS pid FROM events WHERE event_type = 'click' GROUP BY user_id, ts UNION ALL SELECT o_custkey, CAST(o_orderdate AS TIMESTAMP), CAST(NULL AS BIGINT), 1, o_orderkey FROM orders)
+SELECT pid AS o_orderkey, event_id FROM (SELECT pid, probe, last_value(event_id) IGNORE NULLS OVER (PARTITION BY k ORDER BY ts DESC, probe, pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_id FROM u) WHERE probe = 1 AND event_id IS NOT NULL""",
+    """
+WITH c AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT o_orderkey, event_id FROM orders ASOF JOIN c ON user_id = o_custkey AND CAST(o_orderdate AS TIMESTAMP) <= ts""",
 )
 add(
     "sql_asof_window",
@@ -105,3 +107,14 @@ add(
     "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(l_quantity) FOR l_linestatus IN ('F' AS f, 'O' AS o))",
     "SELECT l_returnflag, nullif(count(*) FILTER (WHERE l_linestatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE l_linestatus = 'O'), 0) AS o FROM lineitem GROUP BY l_returnflag",
 )
+add("sql_join_right", "SELECT n_nationkey, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_nationkey")
+add("sql_percent_rank", "SELECT c_custkey, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)")
+add("sql_nth_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first, nth_value(o_orderkey, 2) OVER w AS second, last_value(o_orderkey) OVER w AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+add("sql_range_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS n FROM part")
+add(
+    "sql_map",
+    "SELECT n_nationkey, m['name'] AS name, m['none'] AS none, CAST(size(map_keys(m)) AS INTEGER) AS n FROM (SELECT n_nationkey, map('name', n_name, 'region', CAST(n_regionkey AS STRING)) AS m FROM nation) t",
+    "SELECT n_nationkey, m['name'] AS name, m['none'] AS none, CAST(len(map_keys(m)) AS INTEGER) AS n FROM (SELECT n_nationkey, MAP {'name': n_name, 'region': CAST(n_regionkey AS VARCHAR)} AS m FROM nation) t",
+)
+add("sql_format", "SELECT c_custkey, format_string('%06d|%s|%.2f', c_custkey, c_mktsegment, c_acctbal) AS line, split(c_name, '#')[1] AS number FROM customer", "SELECT c_custkey, printf('%06d|%s|%.2f', c_custkey, c_mktsegment, c_acctbal) AS line, string_split(c_name, '#')[2] AS number FROM customer")
+add("sql_from_json", "SELECT event_id, j.page AS page, j.k AS k FROM (SELECT event_id, from_json(props, 'page STRING, k INT') AS j FROM events) t", "SELECT event_id, json_extract_string(props, '$.page') AS page, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

@@ -119,9 +119,9 @@ def map_reply_parse(spark, d):
     return r.select("conv_id", "turn", parse.map_points(F.col("reply")).alias("points"), parse.map_score(F.col("reply")).alias("score"))
 
 
-@R.add("judge_parse", r"SELECT doc_id, least(1.0, CAST(coalesce(nullif(regexp_extract(left(text, 0) || CASE doc_id % 4 WHEN 0 THEN 'I rate it 0.' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'score 7/10' WHEN 2 THEN '-0.5' ELSE 'none' END, '\d+(?:\.\d+)?', 0), ''), '0') AS DOUBLE)) AS score FROM documents")
+@R.add("judge_parse", r"SELECT doc_id, least(1.0, CAST(coalesce(nullif(regexp_extract(CASE doc_id % 4 WHEN 0 THEN 'I rate it 0.' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'score 7/10' WHEN 2 THEN '-0.5' ELSE 'none' END || ': ' || coalesce(text, ''), '\d+(?:\.\d+)?', 0), ''), '0') AS DOUBLE)) AS score FROM documents")
 def judge_parse(spark, d):
-    reply = F.expr("CASE doc_id % 4 WHEN 0 THEN 'I rate it 0.' || CAST(doc_id AS STRING) WHEN 1 THEN 'score 7/10' WHEN 2 THEN '-0.5' ELSE 'none' END")
+    reply = F.expr("CASE doc_id % 4 WHEN 0 THEN 'I rate it 0.' || CAST(doc_id AS STRING) WHEN 1 THEN 'score 7/10' WHEN 2 THEN '-0.5' ELSE 'none' END || ': ' || coalesce(text, '')")
     return load(spark, d, "documents").select("doc_id", parse.judge_score(reply).alias("score"))
 
 
