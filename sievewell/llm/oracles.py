@@ -53,4 +53,34 @@ d AS (SELECT page_id, payload_bytes, [CAST('0x' || substr(x, 5 * i + 1, 5) AS BI
 e AS (SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to FROM e WINDOW w AS (PARTITION BY payload_digest)"""
 
-ORACLE_SQL = {"op1_url_filter": OP1, "op2_minhash_dedup": OP2, "op4_quality_rules": OP4, "op10_warc": OP10}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}') AS ts FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(coalesce(sum(len(ts)), 0) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_TERM}')) AS t FROM benchmark),
+tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) SEMI JOIN it USING (t) GROUP BY r, doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY t, big_n),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * big_n) // l))))) AS BIGINT) AS score FROM tf JOIN w USING (t) JOIN it USING (t), c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50"""
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit: DuckDB has no function for it."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+
+OP12 = f"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS base, {_crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM ids),
+q AS (SELECT c, 0 AS own, pos, role, text FROM h JOIN t ON conv_id = base AND pos <= h UNION ALL SELECT c, 1 AS own, pos, role, text FROM h JOIN t ON conv_id = c AND pos > h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth, md5(md5(role) || md5(text)) AS x, length(text) AS chars FROM q),
+p AS (SELECT c, depth, chars, string_agg(x, '') OVER (PARTITION BY c ORDER BY depth) AS path FROM r UNION ALL SELECT c, 0 AS depth, 0 AS chars, '' AS path FROM ids),
+node AS (SELECT path, any_value(depth) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n FROM p GROUP BY path),
+kids AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends FROM (SELECT c, max(path) AS path FROM p GROUP BY c) GROUP BY path),
+up AS (SELECT left(path, 32 * CAST(a AS BIGINT)) AS path, count_if(k IS NULL) AS leaves, sum((n - 1) * chars) AS saved FROM (SELECT path, k, n, chars, unnest(range(0, depth + 1)) AS a FROM node LEFT JOIN kids USING (path)) GROUP BY 1)
+SELECT node.conv_id, node.depth, parent.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM node LEFT JOIN kids USING (path) JOIN up USING (path) LEFT JOIN e USING (path) LEFT JOIN node AS parent ON node.depth > 0 AND parent.path = left(node.path, 32 * (node.depth - 1))"""
+
+ORACLE_SQL = {"op1_url_filter": OP1, "op2_minhash_dedup": OP2, "op4_quality_rules": OP4, "op10_warc": OP10, "op11_lexical_search": OP11, "op12_prefix_trie": OP12}
