@@ -6,7 +6,7 @@
    within half the threshold's angle become centres, the most crowded first, at most SAMPLE / CORE_LEAST of them. Classes
    within that half angle of a centre belong to its core. Any two of a core are linked, by the triangle inequality of
    angles, so their links are counted and united without comparing them: a group of near copies may hold most of all rows.
-3. Forest: each of TREES trees splits recursively. A split takes, of DIRECTIONS random directions of its tree and depth,
+3. Forest: each of TREES trees splits recursively. A split takes, of DIRECTIONS of the POOL random directions of its depth,
    the direction and the place between the SIDE and 1 - SIDE quantiles with fewest sampled points near it; classes within SPILL of the place go to both
    sides. A plan of splits is fitted to a sample (of the whole table for the first plan of each tree) and applied to all
    classes. Leaves over LEAF classes get a plan of their own, fitted to a sample of theirs, round by round, until no leaf can be split.
@@ -28,6 +28,7 @@ component. Empty tables give empty results. Ids may be of any type that has an o
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -42,13 +43,13 @@ from .common import ddl, few, materialize, mix64, remove, spread_join, unit_hash
 from .components import connected_components
 
 COSINE = 0.9
-TREES, DIRECTIONS, DEPTH = 8, 12, 7
+TREES, POOL, DIRECTIONS, DEPTH = 8, 256, 12, 7
 #: Classes of a leaf that is split further, and classes of a block.
 LEAF, BLOCK = 400, 800
 #: Quantiles between which a split may be, and half the width of what goes to both sides, times the root of the dimension.
-SIDE, SPILL = 0.25, 0.1
+SIDE, SPILL = 0.3, 0.07
 #: Share of a leaf's points that may be within CLOSE (times the root of the dimension) of a split: denser leaves are closer together than links are long.
-STOP, CLOSE = 0.6, 0.2
+STOP, CLOSE = 0.8, 0.1
 #: Classes that plans and cores are fitted to, and those that a plan needs for a further split.
 SAMPLE, LEAST = 4096, 24
 CORE_LEAST = 8
@@ -66,13 +67,15 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-def directions(tree: int, depth: int, dim: int) -> np.ndarray:
-    d = np.random.default_rng([SEED, tree, depth, dim]).standard_normal((DIRECTIONS, dim))
+@functools.lru_cache(64)
+def directions(depth: int, dim: int) -> np.ndarray:
+    """The random directions that splits at a depth choose from."""
+    d = np.random.default_rng([SEED, depth, dim]).standard_normal((POOL, dim))
     return d / np.linalg.norm(d, axis=1)[:, None]
 
 
-def fit(points: np.ndarray, tree: int, first: int) -> np.ndarray | None:
-    """A plan of DEPTH levels, as a heap of splits, fitted to unit vectors; ``first`` is the depth of its top. None: it splits nothing."""
+def fit(points: np.ndarray, name: int, first: int) -> np.ndarray | None:
+    """A plan of DEPTH levels, as a heap of splits, fitted to unit vectors; ``name`` picks its directions, ``first`` is the depth of its top. None: it splits nothing."""
     plan = np.zeros((1 << DEPTH) - 1, _PLAN)
     plan["direction"] = -1
     dim, todo = points.shape[1], [(0, 0, np.arange(len(points)))]
@@ -81,7 +84,8 @@ def fit(points: np.ndarray, tree: int, first: int) -> np.ndarray | None:
         at, depth, rows = todo.pop()
         if depth == DEPTH or len(rows) < LEAST:
             continue
-        dirs = directions(tree, first + depth, dim)
+        pick = np.random.default_rng([SEED, abs(name), first + depth, at]).choice(POOL, DIRECTIONS, replace=False)
+        dirs = directions(first + depth, dim)[pick]
         projected = np.sort(points[rows] @ dirs.T, axis=0)
         best = None
         for d in range(DIRECTIONS):
@@ -95,35 +99,36 @@ def fit(points: np.ndarray, tree: int, first: int) -> np.ndarray | None:
         crowd, d, place = best
         if crowd > STOP * len(rows):  # no gap to split at
             continue
-        plan[at] = (d, place)
+        plan[at] = (pick[d], place)
         p = points[rows] @ dirs[d]
         for side, mask in ((2 * at + 1, p <= place + margin), (2 * at + 2, p >= place - margin)):
             todo.append((side, depth + 1, rows[mask]))
     return plan if plan["direction"][0] >= 0 else None
 
 
-def descend(points: np.ndarray, plan: np.ndarray, tree: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, places in the plan): the leaves that each of the unit vectors comes to."""
+def descend(points: np.ndarray, plans: np.ndarray, which: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places in their plans): the leaves that each of the unit vectors comes to; ``which`` of the plans is a row's."""
     dim = points.shape[1]
     margin = SPILL / math.sqrt(dim)
     rows, at = np.arange(len(points)), np.zeros(len(points), np.int64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for depth in range(DEPTH):
-        leaf = plan["direction"][at] < 0
+        split = plans[which[rows], at]
+        leaf = split["direction"] < 0
         out.append((rows[leaf], at[leaf]))
-        rows, at = rows[~leaf], at[~leaf]
+        rows, at, split = rows[~leaf], at[~leaf], split[~leaf]
         if not len(rows):
             break
-        p = np.take_along_axis(points @ directions(tree, first + depth, dim).T, plan["direction"][at][:, None], 1)[:, 0] if len(rows) == len(points) else np.einsum("ij,ij->i", points[rows], directions(tree, first + depth, dim)[plan["direction"][at]])
-        place = plan["at"][at]
-        left, right = p <= place + margin, p >= place - margin
+        p = np.einsum("ij,ij->i", points[rows], directions(first + depth, dim)[split["direction"]])
+        left, right = p <= split["at"] + margin, p >= split["at"] - margin
         rows, at = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
-    out.append((rows, at))
+    else:
+        out.append((rows, at))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 def child(leaf: int | np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The name of a leaf of a plan that was made for ``leaf``."""
+    """The names of leaves of plans that were made for ``leaf``."""
     return mix64(np.asarray(leaf).astype(np.int64).view(np.uint64) + mix64(at.astype(np.uint64) + np.uint64(1))).view(np.int64)
 
 
@@ -199,7 +204,7 @@ def _sampled(classes: DataFrame, size: int) -> dict[int, np.ndarray]:
 def _assign(classes: DataFrame, sample: dict[int, np.ndarray], cosine: float, trees: int) -> DataFrame:
     """classes with their core (null: none) and leaves of each tree's first plan."""
     centres = {dim: p[find_cores(p, cosine)] for dim, p in sample.items()}
-    plans = {dim: [fit(p, t, 0) for t in range(trees)] for dim, p in sample.items()}
+    plans = {dim: [fit(p, t, 0) for t in range(trees)] for dim, p in sample.items()}  # None: one leaf
     half = math.sqrt((1 + cosine) / 2) + 1e-9
 
     def run(batches):
@@ -213,7 +218,7 @@ def _assign(classes: DataFrame, sample: dict[int, np.ndarray], cosine: float, tr
                     core[rows] = np.where(cos[np.arange(len(rows)), at] >= half, dim * SAMPLE + at, -1)
                 for t in range(trees):
                     plan = plans[dim][t] if dim in plans else None
-                    r, at = descend(points, plan, t, 0) if plan is not None else (np.arange(len(rows)), np.zeros(len(rows), np.int64))
+                    r, at = descend(points, plan[None], np.zeros(len(rows), np.int64), 0) if plan is not None else (np.arange(len(rows)), np.zeros(len(rows), np.int64))
                     rows_of.append(rows[r])
                     leaf_of.append(child(np.int64(root(t, dim)), at))
             r, leaf = np.concatenate(rows_of), np.concatenate(leaf_of)
@@ -233,7 +238,7 @@ def _split_further(placed: DataFrame, big: DataFrame, round_: int) -> DataFrame
     def fitted(t: pa.Table) -> pa.Table:
         t = t.sort_by("node").combine_chunks()
         leaf, dim = t.column("leaf")[0].as_py(), t.column("dim")[0].as_py()
-        plan = fit(matrix(t.column("vec").combine_chunks(), dim), leaf & 0x7FFFFFFF, first)
+        plan = fit(matrix(t.column("vec").combine_chunks(), dim), leaf, first)
         return pa.table([pa.array([leaf] * (plan is not None), pa.int64()), pa.array([plan.tobytes()] if plan is not None else [], pa.binary())], ["leaf", "plan"])
 
     sample = members.filter(unit_hash(F.col("node"), F.col("leaf")) < SAMPLE / F.col("size"))
@@ -249,12 +254,10 @@ def _split_further(placed: DataFrame, big: DataFrame, round_: int) -> DataFrame
             plan_col = batch.column(batch.schema.get_field_index("plan"))
             out = []
             for _, rows, points in by_dim(batch):
-                mine = leaves[rows]
-                for leaf in np.unique(mine).tolist():
-                    here = np.flatnonzero(mine == leaf)
-                    plan = np.frombuffer(plan_col[int(rows[here[0]])].as_py(), _PLAN)
-                    r, at = descend(points[here], plan, leaf & 0x7FFFFFFF, first)
-                    out.append((nodes[rows[here[r]]], np.full(len(r), leaf), child(np.int64(leaf), at)))
+                known, at, which = np.unique(leaves[rows], return_index=True, return_inverse=True)
+                stacked = np.stack([np.frombuffer(plan_col[int(rows[i])].as_py(), _PLAN) for i in at])
+                r, place = descend(points, stacked, which, first)
+                out.append((nodes[rows[r]], known[which[r]], child(known[which[r]], place)))
             cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["node", "leaf", "to"])
 
