@@ -64,7 +64,7 @@ def rrf_fuse(spark, d):
 def hybrid_search(spark, d):
     v, c = corpus(spark, d)
     found = retrieval.hybrid(v, c, asked(spark, d), Settings(), digits=6)
-    return F.broadcast(found).join(c, "id", "left").select("qid", "id", "score", "rank", "source", F.substring("content", 1, 240).alias("snippet"))
+    return retrieval.if_few(found, asked(spark, d)).join(c, "id", "left").select("qid", "id", "score", "rank", "source", F.substring("content", 1, 240).alias("snippet"))
 
 
 @R.add("vector_mode", f"WITH {_VEC} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= 5")
@@ -96,15 +96,15 @@ def relevance_floor(spark, d):
 def context_format(spark, d):
     v, c = corpus(spark, d)
     found = retrieval.hybrid(v, c, asked(spark, d), Settings(), digits=6)
-    return retrieval.context(F.broadcast(found).join(c, "id").withColumn("chunk_index", F.lit(0)))
+    return retrieval.context(retrieval.if_few(found, asked(spark, d)).join(c, "id").withColumn("chunk_index", F.lit(0)))
 
 
-@R.add("rerank_scores", f"{_RRF}, top AS (SELECT qid, id, rank, length(text) % 97 AS s FROM best JOIN documents ON doc_id = id WHERE rank <= 20), r AS (SELECT qid, id, CAST(s AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank, id) AS rank FROM top) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@R.add("rerank_scores", f"{_RRF}, top AS (SELECT qid, id, rank, length(text) % 97 AS s FROM best JOIN documents ON doc_id = id WHERE rank <= 40), r AS (SELECT qid, id, CAST(s AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank, id) AS rank FROM top) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def rerank_scores(spark, d):
     v, c = corpus(spark, d)
     q = asked(spark, d)
-    found = retrieval.hybrid(v, c, q, Settings(top_k_final=20), digits=6)
-    wide = F.broadcast(found).join(c, "id").join(F.broadcast(q.select("qid", "query")), "qid")
+    found = retrieval.hybrid(v, c, q, Settings(top_k_final=40), digits=6)  # all that either leg found
+    wide = retrieval.if_few(found, q).join(c, "id").join(retrieval.if_few(q.select("qid", "query"), q), "qid")
     return retrieval.rerank(wide, lambda qs, cs: [float(len(x) % 97) for x in cs], 5)
 
 
