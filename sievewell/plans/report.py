@@ -6,7 +6,7 @@ import json
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.routing import with_cost
@@ -69,10 +69,25 @@ def latency_by_route(log: DataFrame) -> DataFrame:
     return log.filter("route is not null").groupBy("route").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count("*").alias("n"))
 
 
-def broken_rules(df: DataFrame, key: str, not_null: list[str] = (), accepted: dict[str, list] | None = None) -> DataFrame:
-    """(rule, n) of data tests that fail: nulls, repeated keys, values that are not accepted."""
+def eval_trend(runs: DataFrame) -> DataFrame:
+    """(config, metric, day, n, value, change): the mean of each metric of a configuration by day, and the change since its last day with runs.
+
+    runs: config, metric, day, value. Days are aggregated first, so the window of a configuration has a row a day.
+    """
+    daily = runs.groupBy("config", "metric", "day").agg(F.count("value").alias("n"), F.avg("value").alias("value"))
+    before = F.lag("value").over(Window.partitionBy("config", "metric").orderBy("day"))
+    return daily.select("config", "metric", "day", "n", F.round("value", 6).alias("value"), F.round(F.col("value") - before, 6).alias("change"))
+
+
+def broken_rules(df: DataFrame, key: str, not_null: list[str] = (), accepted: dict[str, list] | None = None, relationships: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """(rule, n) of data tests that fail: nulls, repeated keys, values that are not accepted, values that a parent table's column lacks."""
     checks = {f"not_null:{c}": F.count_if(F.col(c).isNull()) for c in not_null} | {f"accepted:{c}": F.count_if(~F.col(c).isin(*v)) for c, v in (accepted or {}).items()}
     checks[f"unique:{key}"] = F.count(key) - F.countDistinct(key)
     row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(checks.values())])
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"c{i}").alias("n")) for i, k in enumerate(checks)]))
-    return row.select(pairs.alias("x")).select("x.*").filter("n > 0")
+    out = row.select(pairs.alias("x")).select("x.*")
+    for c, (parent, its) in (relationships or {}).items():  # counted by value first, so a frequent value is one row of the join
+        values = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("__value")).agg(F.count("*").alias("__n"))
+        orphans = values.join(parent.select(F.col(its).alias("__value")).distinct(), "__value", "left_anti")
+        out = out.unionByName(orphans.agg(F.lit(f"relationships:{c}").alias("rule"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n")))
+    return out.filter("n > 0")
