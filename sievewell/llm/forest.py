@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ddl, few, materialize, mix64, remove, spread_join, unit_hash
-from .components import connected_components
+from .components import connected_components, least_labels
 
 COSINE = 0.9
 TREES, POOL, DIRECTIONS, DEPTH = 8, 256, 12, 7
@@ -264,20 +264,6 @@ def _split_further(placed: DataFrame, big: DataFrame, round_: int) -> DataFrame
     return spread_join(members.drop("size"), plans, "leaf", None, F.xxhash64("node"), bound=BROADCAST_PLANS).mapInArrow(moved, "node bigint, leaf bigint, to bigint")
 
 
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each of n places is connected with by pairs (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _first_common(x: np.ndarray, y: np.ndarray, leaf: int) -> np.ndarray:
     """Whether ``leaf`` is the least name that rows of two padded arrays of leaves have in common."""
     out = np.empty(len(x), bool)
@@ -348,7 +334,7 @@ def compare(placed: DataFrame, cosine: float, keep) -> DataFrame:
         if b is not None:
             y = y + len(a.node)
         counts = np.bincount(x, rows[y], len(node)).astype(np.int64) + np.bincount(y, rows[x], len(node)).astype(np.int64)
-        label = _components(len(node), x, y)
+        label = least_labels(len(node), x, y)
         some, edge = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(node)))
         return [np.concatenate([node[some], node[edge]]), np.concatenate([node[some], node[label[edge]]]), np.concatenate([counts[some], np.zeros(len(edge), np.int64)])]
 

@@ -124,9 +124,10 @@ def test_shingles_split_on_ascii_space_only():
     assert not (minhash.shingles("É b c d e".encode(), h) == minhash.shingles("é b c d e".encode(), h)).any()
 
 
-@pytest.mark.parametrize("broadcast", [250_000, 0])
-def test_components(spark, broadcast, monkeypatch):
+@pytest.mark.parametrize("broadcast, task", [(250_000, 0), (0, 0), (0, 250), (0, 250_000)])
+def test_components(spark, broadcast, task, monkeypatch):
     monkeypatch.setattr(components, "BROADCAST_EDGES", broadcast)
+    monkeypatch.setattr(components, "TASK_EDGES", task)
     monkeypatch.setattr(common, "ROWS_A_SALT", 20)
     rnd = random.Random(8)
     pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(900, i) for i in range(901, 960)]
@@ -144,6 +145,16 @@ def test_components(spark, broadcast, monkeypatch):
     assert all(got.get(x, x) == find(x) for x in parent)
 
 
+def test_least_labels():
+    rng = np.random.default_rng(2)
+    path = np.arange(5000)
+    rng.shuffle(path)
+    assert (components.least_labels(5000, path[:-1], path[1:]) == 0).all()
+    star = np.arange(1, 5000)
+    assert (components.least_labels(5000, star, np.full(4999, 4999)) == np.append(0, np.ones(4999))).all()
+    assert components.least_labels(3, star[:0], star[:0]).tolist() == [0, 1, 2]
+
+
 # --- decontamination ---
 
 
