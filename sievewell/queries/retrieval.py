@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import metrics, retrieval
+from ..operators.graph import ensure_checkpoint_dir
+from ..sources.index import KeywordIndex
 from . import Registry, load
 
 R = Registry()
@@ -40,6 +44,24 @@ def keyword_topk(spark, d):
     return retrieval.keyword_top_k(corpus(spark, d)[1], asked(spark, d), 20)
 
 
+def stored_index(spark, d):
+    """An index of all documents, some sources of which were stored otherwise before, deleted and stored again."""
+    docs = corpus(spark, d)[1]
+    ensure_checkpoint_dir(docs)
+    index = KeywordIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}")
+    odd = F.col("source").isin("src1", "src12")
+    index.update(docs.withColumn("content", F.when(odd, F.concat("content", F.lit(" the "), "content")).otherwise(F.col("content"))))
+    index.update(docs.filter("source = 'src1'"))
+    index.delete("src12")
+    index.update(docs.filter("source = 'src12'"))
+    return index
+
+
+@R.add("keyword_index_topk", f"WITH {_KEY} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM kw")
+def keyword_index_topk(spark, d):
+    return stored_index(spark, d).top_k(asked(spark, d), 20)
+
+
 @R.add("vector_topk", f"SELECT b.vec_id AS id, {_COS} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id = 0 ORDER BY {_COS} DESC, id LIMIT 20")
 def vector_topk(spark, d):
     v = load(spark, d, "embeddings")
