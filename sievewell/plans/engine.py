@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,6 +18,7 @@ from ..functions.text import snippet
 from ..functions.vocabulary import NO_ANSWER
 from ..operators import graph
 from ..operators.retrieval import context, hybrid, if_few, relevance_floor, rerank
+from ..session import missing
 from ..sources import store
 from . import clients, schema, sql_gate
 
@@ -33,7 +35,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, settings: Settings, factory: Factory, corpus: store.Corpus, log_path: str | None = None, graphs: store.GraphStore | None = None, tables: list[str] | None = None, prices=PRICES, scorer=None):
         self.spark, self.settings, self.factory, self.corpus = spark, settings, factory, corpus
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # see session.CONF
+        if lacks := missing(spark):
+            warnings.warn(f"the session lacks settings that the engine relies on, see sievewell.session: {lacks}", stacklevel=2)
         self.log_path, self.graphs, self.tables, self.scorer = log_path, graphs, tables, scorer
         self.prices = price_table(spark, prices)
 

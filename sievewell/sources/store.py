@@ -1,7 +1,9 @@
 """Stored tables: chunks, graphs and logs.
 
-A stored table is a folder of versions and a small file that names the current one. A new version is written aside and
-becomes current by replacing that file, so readers see a whole version, and a failed write changes nothing.
+A stored table is a folder of versions and a small file for each version that names its data. A new version is written
+aside and becomes current when its file is made, which fails if another writer has made one of that number meanwhile.
+So readers see a whole version, a failed write changes nothing, and of two writers one fails. The data of the last KEEP
+versions stay, for readers that have begun.
 """
 
 from __future__ import annotations
@@ -25,34 +27,55 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+#: Versions of a table whose data stay.
+KEEP = 3
+
+
+class Conflict(RuntimeError):
+    """Another writer has replaced the table since it was read."""
+
+
 class Versioned:
-    """A table at a path, replaced as a whole."""
+    """A table at a path, replaced as a whole. A replacement goes on from the version that was read last through this object."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, fmt: str = "parquet"):
         self.spark, self.path, self.schema, self.format = spark, path.rstrip("/"), schema, fmt
+        self._seen: int | None = None
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in list_names(self.spark, f"{self.path}/versions") if n.isdigit())
 
-    def current(self) -> str | None:
-        fs, p = _fs(self.spark, f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(p) else None
+    def _data(self, number: int) -> str:
+        return self.spark.read.text(f"{self.path}/versions/{number}").first()[0]
 
     def exists(self) -> bool:
-        return self.current() is not None
+        return bool(self._numbers())
 
     def read(self) -> DataFrame:
-        name = self.current()
-        if name is None:
+        self._seen = max(self._numbers(), default=0)
+        if not self._seen:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).format(self.format).load(f"{self.path}/{name}")
+        return self.spark.read.schema(self.schema).format(self.format).load(f"{self.path}/{self._data(self._seen)}")
 
     def replace(self, df: DataFrame) -> None:
-        old, name = self.current(), f"v-{uuid.uuid4().hex}"
+        """Raises Conflict, and changes nothing, if the table is not the one that was read."""
+        number = (max(self._numbers(), default=0) if self._seen is None else self._seen) + 1
+        name = f"v-{uuid.uuid4().hex}"
         df.write.format(self.format).save(f"{self.path}/{name}")
-        fs, p = _fs(self.spark, f"{self.path}/CURRENT")
-        out = fs.create(p, True)
+        fs, p = _fs(self.spark, f"{self.path}/versions/{number}")
+        path = lambda x: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}")
+        try:
+            out = fs.create(p, False)  # fails if it is there
+        except Exception as e:
+            fs.delete(path(name), True)
+            raise Conflict(f"{self.path}: version {number} is there already") from e
         out.write(bytearray(name.encode()))
         out.close()
-        if old:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+        self._seen = number
+        for old in self._numbers():
+            if old <= number - KEEP:
+                fs.delete(path(self._data(old)), True)
+                fs.delete(path(f"versions/{old}"), False)
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: DataFrame, key: str = "source") -> DataFrame:
