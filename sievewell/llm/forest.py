@@ -74,15 +74,16 @@ def directions(depth: int, dim: int) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1)[:, None]
 
 
-def fit(points: np.ndarray, name: int, first: int) -> np.ndarray | None:
-    """A plan of DEPTH levels, as a heap of splits, fitted to unit vectors; ``name`` picks its directions, ``first`` is the depth of its top. None: it splits nothing."""
+def fit(points: np.ndarray, name: int, first: int, size: int) -> np.ndarray | None:
+    """A plan of DEPTH levels, as a heap of splits, fitted to unit vectors; ``name`` picks its directions, ``first`` is the depth of its top, ``size`` the number of all that the points are a sample of. None: it splits nothing."""
     plan = np.zeros((1 << DEPTH) - 1, _PLAN)
     plan["direction"] = -1
     dim, todo = points.shape[1], [(0, 0, np.arange(len(points)))]
     margin, close = SPILL / math.sqrt(dim), CLOSE / math.sqrt(dim)
+    least = max(LEAST, LEAF * len(points) / max(size, 1))  # what LEAF classes are in the sample
     while todo:
         at, depth, rows = todo.pop()
-        if depth == DEPTH or len(rows) < LEAST:
+        if depth == DEPTH or len(rows) <= least:
             continue
         pick = np.random.default_rng([SEED, abs(name), first + depth, at]).choice(POOL, DIRECTIONS, replace=False)
         dirs = directions(first + depth, dim)[pick]
@@ -201,10 +202,10 @@ def _sampled(classes: DataFrame, size: int) -> dict[int, np.ndarray]:
     return {dim: points for batch in rows.combine_chunks().to_batches(max_chunksize=max(1, rows.num_rows)) for dim, _, points in by_dim(batch)}
 
 
-def _assign(classes: DataFrame, sample: dict[int, np.ndarray], cosine: float, trees: int) -> DataFrame:
+def _assign(classes: DataFrame, sample: dict[int, np.ndarray], size: int, cosine: float, trees: int) -> DataFrame:
     """classes with their core (null: none) and leaves of each tree's first plan."""
     centres = {dim: p[find_cores(p, cosine)] for dim, p in sample.items()}
-    plans = {dim: [fit(p, t, 0) for t in range(trees)] for dim, p in sample.items()}  # None: one leaf
+    plans = {dim: [fit(p, t, 0, size) for t in range(trees)] for dim, p in sample.items()}  # None: one leaf
     half = math.sqrt((1 + cosine) / 2) + 1e-9
 
     def run(batches):
@@ -238,7 +239,7 @@ def _split_further(placed: DataFrame, big: DataFrame, round_: int) -> DataFrame
     def fitted(t: pa.Table) -> pa.Table:
         t = t.sort_by("node").combine_chunks()
         leaf, dim = t.column("leaf")[0].as_py(), t.column("dim")[0].as_py()
-        plan = fit(matrix(t.column("vec").combine_chunks(), dim), leaf, first)
+        plan = fit(matrix(t.column("vec").combine_chunks(), dim), leaf, first, t.column("size")[0].as_py())
         return pa.table([pa.array([leaf] * (plan is not None), pa.int64()), pa.array([plan.tobytes()] if plan is not None else [], pa.binary())], ["leaf", "plan"])
 
     sample = members.filter(unit_hash(F.col("node"), F.col("leaf")) < SAMPLE / F.col("size"))
@@ -384,7 +385,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = keep(nodes_of(vectors, id_col, vec_col), "vectors")
     classes = keep(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("rows"), F.min("id").alias("least"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
     size = classes.count()
-    placed = keep(_assign(classes, _sampled(classes, size), cosine, trees), "placed")
+    placed = keep(_assign(classes, _sampled(classes, size), size, cosine, trees), "placed")
     stuck: DataFrame | None = None
     for round_ in range(1, ROUNDS):
         big = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("m")).filter(F.col("m") > LEAF)

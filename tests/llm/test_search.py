@@ -130,9 +130,9 @@ def test_trie_ties(spark):
 
 
 def test_trie_of_one_huge_conversation(spark):
-    rows = [(100, 1, "user", "hello")] + [(101, t, "user", f"turn {t}") for t in range(3000)]
+    rows = [(100, 1, "user", "hello")] + [(101, t, "user", f"turn {t}") for t in range(300)]
     df = spark.createDataFrame([(*r, 1, 1, 1, 1) for r in rows], CONV)
-    assert collections.Counter(tuple(r) for r in trie.build(df, 1000).collect()) == nodes(rows)
+    assert collections.Counter(tuple(r) for r in trie.build(df, 100).collect()) == nodes(rows)
 
 
 # --- embedding near-duplicates ---
@@ -141,7 +141,8 @@ def test_trie_of_one_huge_conversation(spark):
 def linked(vectors, cosine=0.9):
     """{place: (links, least id)}, comparing all pairs."""
     ok = [v is not None and None not in v and all(map(math.isfinite, v)) and any(v) for _, v in vectors]
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if o else None for (_, v), o in zip(vectors, ok, strict=True)]
+    scaled = [np.array(v, float) / max(map(abs, v)) if o else None for (_, v), o in zip(vectors, ok, strict=True)]
+    unit = [None if v is None else v / np.linalg.norm(v) for v in scaled]
     n, links = len(vectors), collections.Counter()
     parent = list(range(n))
 
@@ -205,7 +206,7 @@ def test_forest_blocks(spark, monkeypatch, core):
 
 def test_forest_rounds(spark, monkeypatch):
     """Leaves are split further, by plans of their own, without counting a pair twice."""
-    monkeypatch.setattr(forest, "LEAF", 150)
+    monkeypatch.setattr(forest, "LEAF", 60)
     rng = np.random.default_rng(7)
     vectors = [(i, v / np.linalg.norm(v)) for i, v in enumerate(rng.standard_normal((1500, 16)))]
     vectors = [(i, v.tolist()) for i, v in vectors + [(1000 + i, near(rng, v, rng.uniform(0.9, 1))) for i, v in vectors[:300]]]
