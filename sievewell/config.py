@@ -17,6 +17,9 @@ class Settings:
     rrf_k: int = 60
     mode: str = "hybrid"  # or "vector"
     reranker: str = "none"  # "local" (cross-encoder), "hosted" or "llm"
+    reranker_model: str = ""
+    reranker_url: str = ""  # of the hosted one
+    reranker_key_name: str = ""  # environment variable of the workers that holds its key
     relevance_floor: float | None = None
     router_strategy: str = "heuristic"
     hard_threshold: float = 0.7

@@ -165,21 +165,6 @@ def rerank(results: DataFrame, pairs: Callable[[list[str], list[str]], list[floa
     return top_k(scored, ["qid"], [F.desc("score"), F.col("before"), F.col("id")], limit).drop("before")
 
 
-def rerank_listwise(results: DataFrame, reply: Callable[[str, list[str]], str], limit: int, shown: int = 12, chars: int = 300) -> DataFrame:
-    """Order by a model's reply, a list of numbers; only the first ``shown`` candidates are shown, each up to ``chars`` characters.
-
-    Numbers out of range and repeated ones are dropped, omitted candidates follow in their order.
-    """
-    cut = results.filter(F.col("rank") <= shown).withColumn("content", F.substring("content", 1, chars))
-    lists = cut.groupBy("qid").agg(F.first("query").alias("query"), F.array_sort(F.collect_list(F.struct("rank", "id", "content", "score"))).alias("c"))
-    asked = F.udf(lambda q, c: reply(q, [x["content"] for x in c]), "string")
-    from ..functions.parse import rank_list
-
-    ordered = lists.withColumn("reply", asked("query", "c")).withColumn("order", rank_list(F.col("reply"), F.size("c")))
-    out = ordered.select("qid", "c", F.posexplode("order").alias("pos", "i")).filter(F.col("pos") < limit)
-    return out.select("qid", F.col("c")[F.col("i")]["id"].alias("id"), F.col("c")[F.col("i")]["score"].alias("score"), (F.col("pos") + 1).alias("rank"))
-
-
 def relevance_floor(results: DataFrame, floor: float | None, calibrated: bool) -> DataFrame:
     """Results with at least the floor; only scores of a cross-encoder are comparable, others pass."""
     return results if floor is None or not calibrated else results.filter(F.col("score") >= floor)

@@ -20,7 +20,7 @@ from ..operators import graph
 from ..operators.retrieval import context, hybrid, if_few, relevance_floor, rerank
 from ..session import missing
 from ..sources import store
-from . import clients, schema, sql_gate
+from . import clients, rerankers, schema, sql_gate
 
 Factory = Callable[[str], clients.Client]
 #: Answers of the SQL and graph paths that the driver holds at once.
@@ -30,15 +30,16 @@ SQL_QUESTIONS = 1000
 class Engine:
     """Answers batches of questions over a corpus, registered tables and an entity graph.
 
-    ``factory(route)`` makes a client for ``local`` or ``api``; it is called inside the tasks.
+    ``factory(route)`` makes a client for ``local`` or ``api``; it is called inside the tasks. Rerankers are made by
+    ``reranker_builder``, or as rerankers.apply does; ``scorer(queries, texts)`` takes the place of a cross-encoder.
     """
 
-    def __init__(self, spark: SparkSession, settings: Settings, factory: Factory, corpus: store.Corpus, log_path: str | None = None, graphs: store.GraphStore | None = None, tables: list[str] | None = None, prices=PRICES, scorer=None):
+    def __init__(self, spark: SparkSession, settings: Settings, factory: Factory, corpus: store.Corpus, log_path: str | None = None, graphs: store.GraphStore | None = None, tables: list[str] | None = None, prices=PRICES, scorer=None, reranker_builder=None):
         self.spark, self.settings, self.factory, self.corpus = spark, settings, factory, corpus
         if lacks := missing(spark):
             warnings.warn(f"the session lacks settings that the engine relies on, see sievewell.session: {lacks}", stacklevel=2)
         self.log_path, self.graphs, self.tables, self.scorer = log_path, graphs, tables, scorer
-        self.prices = price_table(spark, prices)
+        self.prices, self.reranker_builder = price_table(spark, prices), reranker_builder
 
     # --- documents ---
 
@@ -71,20 +72,25 @@ class Engine:
         kind = questions.schema["qid"].dataType.simpleString()
         asked = questions.select("qid", "query").mapInPandas(embed, f"qid {kind}, query string, embedding array<double>")
         chunks = self.corpus.chunks()
-        wide = replace(s, top_k_final=s.top_k_vector + s.top_k_keyword) if self.scorer and s.reranker != "none" and s.mode == "hybrid" else s
+        fuses = s.mode == "hybrid" and s.reranker != "none"
+        wide = replace(s, top_k_final=s.top_k_vector + s.top_k_keyword) if fuses else s  # all that either leg found
         found = hybrid(chunks, chunks, asked, wide).join(chunks.select("id", "source", "chunk_index", "content"), "id").join(if_few(questions.select("qid", "query"), questions), "qid")
-        calibrated = False
-        if wide is not s:
-            calibrated = s.reranker in ("local", "hosted")
-            ranked = rerank(found, self.scorer, s.top_k_final)
+        calibrated = fuses and s.reranker in ("local", "hosted")
+        if fuses:
+            ranked = rerank(found, self.scorer, s.top_k_final) if self.scorer and s.reranker == "local" else rerankers.apply(found, s, factory, self.reranker_builder)
             found = ranked.join(found.drop("score", "rank"), ["qid", "id"])
         return relevance_floor(found, s.relevance_floor, calibrated)
 
-    def ask(self, questions: DataFrame, forced: str = "auto", mode: str | None = None, top_k: int | None = None) -> DataFrame:
-        """Answers questions (qid, query): path, route, answer, citations, tokens, cost and latency; logged if there is a log."""
+    def ask(self, questions: DataFrame, forced: str = "auto", mode: str | None = None, top_k: int | None = None, reranked: bool = False) -> DataFrame:
+        """Answers questions (qid, query): path, route, answer, citations, tokens, cost and latency; logged if there is a log.
+
+        ``reranked`` asks for the reranker of the settings for this batch, or the listwise one where they name none.
+        """
         if top_k is not None and not 1 <= top_k <= 50:
             raise ValueError("top_k must be from 1 to 50")
         s = replace(self.settings, mode=mode or self.settings.mode, top_k_final=top_k or self.settings.top_k_final)
+        if reranked and s.reranker == "none":
+            s = replace(s, reranker="llm")
         graph_ready = self.graphs is not None and self.graphs.exists()
         routed = with_path(with_route(questions.filter("length(query) > 0"), "query", s), "query", s, bool(self.tables), graph_ready, forced)
         if forced == "local":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import metrics, retrieval
 from ..operators.graph import ensure_checkpoint_dir
+from ..plans import rerankers
 from ..sources.index import KeywordIndex
 from . import Registry, load
 
@@ -130,6 +132,46 @@ def rerank_scores(spark, d):
     return retrieval.rerank(wide, lambda qs, cs: [float(len(x) % 97) for x in cs], 5)
 
 
+def _fused(spark, d):
+    v, c = corpus(spark, d)
+    q = asked(spark, d)
+    found = retrieval.hybrid(v, c, q, Settings(top_k_final=40), digits=6)
+    return retrieval.if_few(found, q).join(c, "id").join(retrieval.if_few(q.select("qid", "query"), q), "qid")
+
+
+class ByLength:
+    """Stands in for a hosted service: the score of a text is its length modulo 89, and texts of a remainder below 5 are left out."""
+
+    def __init__(self, key):
+        pass
+
+    def of_one(self, query, texts):
+        return [float(len(t) % 89) if len(t) % 89 >= 5 else None for t in texts]
+
+
+@R.add("rerank_service", f"{_RRF}, top AS (SELECT qid, id, rank, length(text) % 89 AS s FROM best JOIN documents ON doc_id = id WHERE rank <= 40), r AS (SELECT qid, id, CAST(s AS DOUBLE) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS rank FROM top WHERE s >= 5) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+def rerank_service(spark, d):
+    s = Settings(reranker="hosted", reranker_model="length", top_k_final=8)
+    return rerankers.apply(_fused(spark, d), s, None, ByLength)
+
+
+def _third():
+    """Stands in for a model: names the passages whose shown part has a length that divides by 3, the last first, and a number out of range."""
+
+    def reply(messages):
+        body = messages[0]["content"].partition("Passages:\n")[2]
+        parts = re.split(r"(?m)^\[(\d+)\] ", body)[1:]
+        sizes = [(int(n), len(t.removesuffix("\n"))) for n, t in zip(parts[::2], parts[1::2], strict=True)]
+        return ", ".join(["99", *(str(n) for n, size in reversed(sizes) if size % 3 == 0)])
+
+    return reply
+
+
+@R.add("rerank_listwise", f"{_RRF}, top AS (SELECT qid, id, score, rank, CASE WHEN least(length(text), 300) % 3 = 0 THEN -rank ELSE rank END AS o FROM best JOIN documents ON doc_id = id WHERE rank <= 12), r AS (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY o) AS rank FROM top) SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def rerank_listwise(spark, d):
+    return rerankers.by_list(_fused(spark, d), _third, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 _SAME = "SELECT vec_id, label FROM embeddings"
 
 

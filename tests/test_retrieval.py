@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sievewell.operators import metrics, retrieval
+from sievewell.plans import rerankers
 
 
 def test_vector_batch_is_exact(spark):
@@ -32,8 +33,9 @@ def test_rerank(spark):
     best = retrieval.rerank(df, lambda q, c: [len(x) for x in c], 3).orderBy("rank").collect()
     assert [r.id for r in best] == [14, 13, 12]
     assert retrieval.rerank(df, None, 2).count() == 2
-    listed = retrieval.rerank_listwise(df, lambda q, c: "3, 99, 1", 20).orderBy("rank").collect()
+    listed = rerankers.by_list(df, lambda: lambda messages: "3, 99, 1", 20).orderBy("rank").collect()
     assert [r.id for r in listed][:3] == [3, 1, 2] and len(listed) == 12
+    assert [r.id for r in rerankers.by_list(df, lambda: lambda messages: "no idea", 2).orderBy("rank").collect()] == [1, 2]
     assert retrieval.relevance_floor(df, 0.5, False).count() == 14 and retrieval.relevance_floor(df, 0.5, True).count() == 0
 
 
