@@ -110,5 +110,9 @@ def reduce_messages(query: str, points: str) -> list[dict]:
 
 
 def judge_messages(kind: str, query: str, answer: str, context: str) -> list[dict]:
-    what = {"faithfulness": "how far the sources support the answer", "relevancy": "how far the answer addresses the question"}[kind]
-    return [{"role": "system", "content": f"Rate {what} with one number from 0 to 1."}, {"role": "user", "content": f"Question: {query}\n\nSources:\n{context}\n\nAnswer: {answer}"}]
+    """Faithfulness is judged by the sources and the answer alone, relevancy by the question and the answer alone."""
+    what, given = {
+        "faithfulness": ("how far the sources support the answer; an answer that says it does not know, where the sources do not tell, is fully supported", f"Sources:\n{context}"),
+        "relevancy": ("how far the answer addresses the question; that it is not known addresses it in part", f"Question: {query}"),
+    }[kind]
+    return [{"role": "system", "content": f"Rate {what}. Reply with one number from 0 to 1."}, {"role": "user", "content": f"{given}\n\nAnswer: {answer}"}]

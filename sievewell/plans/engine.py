@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import threading
 import time
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import pandas as pd
@@ -15,16 +19,18 @@ from ..config import Settings
 from ..functions import parse
 from ..functions.routing import PRICES, price_table, with_cost, with_path, with_route
 from ..functions.text import snippet
-from ..functions.vocabulary import NO_ANSWER
+from ..functions.vocabulary import NO_ANSWER, SUFFIXES
 from ..operators import graph
 from ..operators.retrieval import context, hybrid, if_few, relevance_floor, rerank
 from ..session import missing
-from ..sources import store
+from ..sources import documents, store
 from . import clients, rerankers, schema, sql_gate
 
 Factory = Callable[[str], clients.Client]
 #: Answers of the SQL and graph paths that the driver holds at once.
 SQL_QUESTIONS = 1000
+#: Questions of these paths that are answered at the same time.
+AT_ONCE = 4
 
 
 class Engine:
@@ -39,6 +45,7 @@ class Engine:
         if lacks := missing(spark):
             warnings.warn(f"the session lacks settings that the engine relies on, see sievewell.session: {lacks}", stacklevel=2)
         self.log_path, self.graphs, self.tables, self.scorer = log_path, graphs, tables, scorer
+        self._mine = threading.local()
         self.prices, self.reranker_builder = price_table(spark, prices), reranker_builder
 
     # --- documents ---
@@ -46,6 +53,14 @@ class Engine:
     def ingest(self, docs: DataFrame) -> dict[str, int]:
         return self.corpus.ingest(docs, self.settings, lambda xs, f=self.factory: f("local").embed(xs))
 
+    def ingest_directory(self, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> dict[str, int]:
+        """Files below a folder; a file's source is its path below the folder, so files of one name stay apart."""
+        return self.ingest(documents.read_directory(self.spark, folder, suffixes).withColumn("source", F.col("path")))
+
+    def ingest_sql(self, query: str, id_col: str | None = None, prefix: str = "sql", order: list[str] | None = None, max_rows: int | None = 100_000) -> dict[str, int]:
+        """Rows of a read-only query, each a document; see sources.documents.sql_documents."""
+        return self.ingest(documents.sql_documents(self.spark, query, id_col, prefix, order, max_rows))
+
     def sources(self) -> DataFrame:
         return self.corpus.sources()
 
@@ -125,32 +140,45 @@ class Engine:
         return self._chat(asked, lambda r: clients.answer_messages(r["query"], r["context"]) if r["context"] else None)
 
     def _chat(self, asked: DataFrame, messages) -> DataFrame:
+        answered = (F.size("citations") > 0) & ~F.startswith("answer", F.lit(NO_ANSWER))
+        return self._call(asked, messages).withColumn("answered", answered).select(*self._OUT)
+
+    def _call(self, asked: DataFrame, messages) -> DataFrame:
         """One call for each row; rows without messages get the no-answer sentence and no call."""
         factory = self.factory
         keep = [c for c in self._OUT if c in asked.columns]
         kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in keep)
 
         def run(batches):
-            made: dict[str, clients.Client] = {}
+            client = functools.cache(factory)
             for pdf in batches:
                 rows = []
                 for r in pdf.to_dict("records"):
                     began = time.monotonic()
                     m = messages(r)
-                    reply = clients.Reply(NO_ANSWER) if m is None else made.setdefault(r["route"], factory(r["route"])).chat(m)
+                    reply = clients.Reply(NO_ANSWER) if m is None else client(r["route"]).chat(m)
                     rows.append({c: r[c] for c in keep} | {"answer": reply.text, "input_tokens": reply.input_tokens, "output_tokens": reply.output_tokens, "latency_ms": int(1000 * (time.monotonic() - began))})
                 yield pd.DataFrame(rows, columns=[*keep, "answer", "input_tokens", "output_tokens", "latency_ms"])
 
-        done = asked.mapInPandas(run, f"{kinds}, answer string, input_tokens bigint, output_tokens bigint, latency_ms bigint")
-        answered = (F.size("citations") > 0) & ~F.startswith("answer", F.lit(NO_ANSWER))
-        return done.withColumn("answered", answered).select(*self._OUT)
+        return asked.mapInPandas(run, f"{kinds}, answer string, input_tokens bigint, output_tokens bigint, latency_ms bigint")
+
+    def chat(self, asked: DataFrame) -> DataFrame:
+        """asked (qid, query, route, context) with answer, tokens and latency."""
+        return self._call(asked, lambda r: clients.answer_messages(r["query"], r["context"]) if r["context"] else None)
+
+    def answers_by(self, questions: DataFrame, path: str, route: str = "local", settings: Settings | None = None) -> DataFrame:
+        """Answers of one path, hybrid or graph, to questions (qid, query), whatever these are about; not logged."""
+        s = settings or self.settings
+        model = s.api_model if route == "api" else s.local_model
+        q = with_route(questions, "query", s).withColumns({"path": F.lit(path), "route": F.lit(route), "model": F.lit(model)})
+        return self._hybrid(q, s) if path == "hybrid" else self._graph(q)
 
     def _sql(self, q: DataFrame, s: Settings) -> DataFrame:
         """Each question needs a statement of its own, which only the driver can start."""
 
         def answer(r):
             began = time.monotonic()
-            client = self.factory(r.route)
+            client = self._client(r.route)
             names = schema.narrow(self.spark, r["query"], s.schema_top_k, client.embed, self.tables)
             first = client.chat(clients.sql_messages(r["query"], schema.describe(self.spark, names)))
             done = sql_gate.run(self.spark, first.text, s)
@@ -173,23 +201,31 @@ class Engine:
 
         def answer(r):
             began = time.monotonic()
-            client = self.factory(r.route)
+            client = self._client(r.route)
             best = (chosen if chosen is not None else graph.rank_communities(comms, [float(x) for x in client.embed([r["query"]])[0]])).collect()
             answer, cites, tokens = global_answer(client, r["query"], best, set())
             return r.qid, r["query"], "graph", r.route, r.model, r.router_reason, r.difficulty, answer, cites, *tokens, int(1000 * (time.monotonic() - began)), bool(cites)
 
         return self._one_by_one(q, answer)
 
+    def _client(self, route: str) -> clients.Client:
+        """The client of a route in this thread of the driver."""
+        mine = self._mine.__dict__
+        if route not in mine:
+            mine[route] = self.factory(route)
+        return mine[route]
+
     def _one_by_one(self, q: DataFrame, answer: Callable) -> DataFrame:
-        """The rows that ``answer`` makes of all questions, on the driver; full blocks of them go to the shared folder."""
+        """The rows that ``answer`` makes of all questions, a few at a time, on the driver; full blocks of them go to the shared folder."""
         kinds = f"qid {q.schema['qid'].dataType.simpleString()}, query string, path string, route string, model string, router_reason string, difficulty double, answer string, citations {self._CITATION}, input_tokens bigint, output_tokens bigint, latency_ms bigint, answered boolean"
-        blocks, rows = [], []
-        for r in q.toLocalIterator():
-            rows.append(answer(r))
-            if len(rows) >= SQL_QUESTIONS:
-                graph.ensure_checkpoint_dir(q)
-                blocks.append(self.spark.createDataFrame(rows, kinds).checkpoint())
-                rows = []
+        blocks, rows, asked = [], [], q.toLocalIterator()
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # a thread's jobs carry tags of its own
+            while taken := list(itertools.islice(asked, AT_ONCE)):
+                rows += pool.map(answer, taken)
+                if len(rows) >= SQL_QUESTIONS:
+                    graph.ensure_checkpoint_dir(q)
+                    blocks.append(self.spark.createDataFrame(rows, kinds).checkpoint())
+                    rows = []
         out = self.spark.createDataFrame(rows, kinds)
         for b in blocks:
             out = out.unionByName(b)
@@ -248,12 +284,12 @@ def build_graph(chunks: DataFrame, factory: Factory, graphs: store.GraphStore, m
     sizes = comms.groupBy("community").agg(F.count("*").alias("n"))
     big = sizes.filter("n >= 2")
     use = sizes if big.isEmpty() else big
-    facts = comms.join(merged, F.col("id") == F.col("key")).groupBy("community").agg(F.array_sort(F.collect_list("name")).alias("entity_names"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "name", "description"))), "\n").alias("facts"))
+    facts = community_facts(comms, merged, rel)
 
     def summarise(batches):
         c = factory("local")
         for pdf in batches:
-            yield pdf.assign(summary=[c.chat([{"role": "user", "content": f"Summarise:\n{f}"}]).text for f in pdf.facts])
+            yield pdf.assign(summary=[c.chat([{"role": "user", "content": f"Summarise:\n{f}"}]).text.strip() for f in pdf.facts])
 
     summed = facts.join(use.select("community"), "community").mapInPandas(summarise, "community int, entity_names array<string>, facts string, summary string")
     table = summed.join(sources, "community", "left").select(F.col("community").alias("id"), "summary", "entity_names", F.coalesce("sources", F.expr("array()").cast("array<string>")).alias("sources"), F.lit(None).cast("array<double>").alias("embedding"))
@@ -262,21 +298,24 @@ def build_graph(chunks: DataFrame, factory: Factory, graphs: store.GraphStore, m
     return {"entities": loaded["entities"].count(), "relationships": loaded["relationships"].count(), "communities": loaded["communities"].count()}
 
 
-def estimate_build(n_chunks: int, communities: int = 5) -> int:
-    """Model calls that a build takes, about."""
-    return n_chunks + communities
+def community_facts(comms: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, entity_names, facts): what a summary is made from: the members, and the relationships whose two ends are both members.
 
+    comms: community, id; entities: key, name, type, description; edges: s, t (keys), source, target, description.
+    """
+    own = comms.join(entities, F.col("id") == F.col("key"))
+    members = own.groupBy("community").agg(
+        F.array_sort(F.collect_list("name")).alias("entity_names"),
+        F.array_join(F.array_sort(F.collect_list(F.format_string("- %s (%s): %s", "name", "type", "description"))), "\n").alias("members"),
+    )
+    left, right = comms.select("community", F.col("id").alias("s")), comms.select(F.col("community").alias("other"), F.col("id").alias("t"))
+    inside = edges.join(left, "s").join(right, "t").filter("community = other")
+    links = inside.groupBy("community").agg(F.array_join(F.array_sort(F.collect_set(F.format_string("- %s → %s: %s", "source", "target", "description"))), "\n").alias("links"))
+    joined = members.join(links, "community", "left")
+    facts = F.concat(F.lit("Entities:\n"), "members", F.lit("\nRelationships:\n"), F.coalesce("links", F.lit("(none)")))
+    return joined.select("community", "entity_names", facts.alias("facts"))
 
-def compare_configs(engine: Engine, items: DataFrame, k: int = 5) -> list[dict]:
-    """Retrieval quality of vector, hybrid and hybrid with reranking over labelled items; latency is that of retrieval alone."""
-    from ..operators import metrics
 
-    asked = items.withColumn("qid", F.xxhash64("question")).withColumn("query", F.col("question"))
-    out = []
-    for name, s in (("vector", replace(engine.settings, mode="vector")), ("hybrid", replace(engine.settings, mode="hybrid", reranker="none")), ("hybrid+rerank", replace(engine.settings, mode="hybrid", reranker="local" if engine.scorer else "none"))):
-        began = time.monotonic()
-        found = engine.retrieve(asked.select("qid", "query"), s).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("retrieved"))
-        scored = metrics.per_query(asked.join(found, "qid", "left").withColumn("retrieved", F.coalesce("retrieved", F.expr("array()").cast("array<string>"))).withColumnRenamed("relevant_doc_ids", "relevant"), k)
-        row = metrics.summary(scored).first().asDict()
-        out.append({"config": name} | row | {"latency_ms": 1000 * (time.monotonic() - began) / max(1, asked.count())})
-    return out
+def estimate_build(n_chunks: int, communities: int = 5) -> int:
+    """Model calls that a build takes, about."""
+    return n_chunks + communities

@@ -107,7 +107,7 @@ def _check_plan(plan) -> None:
             raise UnsafeSQL("files can't be read by path")
     if kind == "UnresolvedTableValuedFunction":
         name = ".".join(str(x) for x in _items(plan.name())).lower()
-        if name not in ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"):
+        if name not in ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "chunk"):
             raise UnsafeSQL(f"table function {name} is not allowed")
     for e in _items(plan.expressions()):
         _check_expression(e)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..plans import engine
 from . import Registry, load
 
 R = Registry()
@@ -79,6 +80,22 @@ def provenance(spark, d):
     return graph.provenance(members, ents, chunks).select("community", F.array_join("sources", ",").alias("sources"))
 
 
+@R.add(
+    "community_facts",
+    f"""WITH {_MERGED}, c AS (SELECT key, CAST(substr(key, length(key), 1) AS INTEGER) % 3 AS community FROM m),
+r AS (SELECT DISTINCT lower(trim(source)) AS s, lower(trim(target)) AS t, source, target FROM ({_RAW})),
+n AS (SELECT community, string_agg('- ' || name || ' (' || type || '): ' || description, chr(10) ORDER BY '- ' || name || ' (' || type || '): ' || description) AS members FROM c JOIN m USING (key) GROUP BY community),
+l AS (SELECT a.community, string_agg(DISTINCT '- ' || source || ' → ' || target || ': sold', chr(10) ORDER BY '- ' || source || ' → ' || target || ': sold') AS links FROM r JOIN c a ON a.key = s JOIN c b ON b.key = t AND a.community = b.community GROUP BY a.community)
+SELECT community, 'Entities:' || chr(10) || members || chr(10) || 'Relationships:' || chr(10) || coalesce(links, '(none)') AS facts FROM n LEFT JOIN l USING (community)""",
+)
+def community_facts(spark, d):
+    ents = entities(spark, d)
+    load(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    edges = graph.valid_edges(spark.sql(_RAW).withColumn("description", F.lit("sold")).drop("o", "n").distinct(), ents)
+    members = ents.select((F.substring("key", -1, 1).cast("int") % 3).alias("community"), F.col("key").alias("id"))
+    return engine.community_facts(members, ents, edges).select("community", "facts")
+
+
 _COMM = """SELECT r_regionkey AS id, 'Nations of ' || r_name AS summary, list_sort(list(n_name)) AS entity_names, list_sort(list_distinct(list('src' || CAST(n_nationkey % 7 AS VARCHAR)))) AS sources FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name
 UNION ALL SELECT 100 + n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Only ' || n_name ELSE NULL END, [n_name], CASE WHEN n_nationkey % 5 = 0 THEN [] ELSE ['src' || CAST(n_nationkey AS VARCHAR)] END FROM nation"""
 

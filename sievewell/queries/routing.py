@@ -9,7 +9,7 @@ from ..functions import routing
 from ..functions.text import hits, mixed_word_count
 from ..functions.vocabulary import ANALYTICAL, INJECTION, OVERVIEW, REASONING, SENSITIVE, SIMPLE
 from ..operators.metrics import percentile
-from ..plans import report, schema
+from ..plans import evaluation, report, schema
 from ..sources import store
 from ..streaming.ingest import windowed_counts
 from . import Registry, load, quoted, sql_list
@@ -134,12 +134,14 @@ def latency_percentiles(spark, d):
 
 @R.add("sql_eval_summary", f"WITH {LOG} SELECT count(*) AS n, round(avg(CASE WHEN route = 'sql' THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(input_tokens), 4) AS tokens, round(quantile_cont(latency_ms, 0.5), 4) AS med, count(*) FILTER (WHERE route IS NULL) AS trips FROM log")
 def sql_eval_summary(spark, d):
-    return log(spark, d).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("route") == "sql", 1.0).otherwise(0.0)), 6).alias("accuracy"), F.round(F.avg("input_tokens"), 4).alias("tokens"), F.round(percentile("latency_ms", 0.5), 4).alias("med"), F.count_if(F.col("route").isNull()).alias("trips"))
+    runs = log(spark, d).select((F.coalesce("route", F.lit("")) == "sql").alias("ok"), F.when(F.col("route").isNull(), "exceeded 5 s").alias("error"), "latency_ms", F.col("input_tokens").alias("tokens"), F.lit(1).alias("tables"))
+    return evaluation.execution_summary(runs).select("n", "accuracy", "tokens", "med", "trips")
 
 
 @R.add("overview_eval", f"WITH {LOG} SELECT route, count(*) AS n, round(avg(nullif(output_tokens % 7, 0)), 6) AS quality, round(avg(CAST(input_tokens AS DOUBLE)), 4) AS tokens FROM log GROUP BY route")
 def overview_eval(spark, d):
-    return log(spark, d).groupBy("route").agg(F.count("*").alias("n"), F.round(F.avg(F.expr("nullif(output_tokens % 7, 0)")), 6).alias("quality"), F.round(F.avg("input_tokens"), 4).alias("tokens"))
+    runs = log(spark, d).select(F.col("route").alias("approach"), F.expr("nullif(output_tokens % 7, 0)").alias("faithfulness"), F.lit(0.0).alias("relevancy"), F.col("input_tokens").alias("tokens"), F.lit(0.0).alias("cost_usd"), "latency_ms")
+    return evaluation.approach_summary(runs).select(F.col("approach").alias("route"), "n", F.col("faithfulness").alias("quality"), F.round("tokens", 4).alias("tokens"))
 
 
 @R.add("schema_lexical_rank", "SELECT 'customer' AS first, 2 AS score")

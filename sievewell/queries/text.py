@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import parse, text
+from ..functions import parse, table, text
 from ..functions.vocabulary import INJECTION
 from ..operators import chunking
 from ..plans.clients import HashingEmbedder
-from ..sources.documents import row_documents
+from ..sources.documents import row_documents, sql_documents
 from . import Registry, load, quoted
 
 R = Registry()
@@ -24,6 +24,13 @@ def chunk_fixed(spark, d):
     return chunking.chunk_fixed(load(spark, d, "documents"), "doc_id", "text")
 
 
+@R.add("chunk_udtf", WINDOWS)
+def chunk_udtf(spark, d):
+    table.register(spark)
+    load(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("chunk_documents")
+    return spark.sql("SELECT d.doc_id, c.* FROM chunk_documents d, LATERAL chunk(d.text, 512, 64) c")
+
+
 @R.add(
     "sentence_split",
     r"""
@@ -153,3 +160,13 @@ def rows_to_documents(spark, d):
 )
 def rows_numbered(spark, d):
     return row_documents(load(spark, d, "nation").select("n_name", "n_regionkey"), None, "nation", ["n_name"])
+
+
+@R.add(
+    "sql_documents",
+    r"""SELECT 'orders:' || CAST(o_orderkey AS VARCHAR) AS source, concat_ws(chr(10), 'o_orderkey: ' || CAST(o_orderkey AS VARCHAR), 'customer: ' || c_name, 'o_orderpriority: ' || o_orderpriority) AS text FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
+)
+def sql_rows_to_documents(spark, d):
+    for n in ("orders", "customer"):
+        load(spark, d, n).createOrReplaceTempView(n)
+    return sql_documents(spark, "SELECT o_orderkey, c_name AS customer, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'", "o_orderkey", "orders", max_rows=None)

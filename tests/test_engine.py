@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sievewell.config import Settings
-from sievewell.plans import clients, engine
+from sievewell.plans import clients, engine, evaluation
 from sievewell.sources import catalog, documents, sqlite, store
 from sievewell.streaming import ingest
 
@@ -86,7 +86,7 @@ def test_engine(spark, folder, tmp_path):
         e.ask(q, top_k=51)
     assert e.delete("a.md") == 1 and e.delete("a.md") == 0 and [r.source for r in e.sources().collect()] == ["b.TXT"]
     items = spark.createDataFrame([("When are releases cut?", "", ["b.TXT"])], "question string, expected_answer string, relevant_doc_ids array<string>")
-    assert [x["recall"] for x in engine.compare_configs(e, items)] == [1.0, 1.0, 1.0]
+    assert [x["recall"] for x in evaluation.run_eval(e, items)] == [1.0, 1.0, 1.0]
 
 
 def test_batches_over_a_block(spark, tmp_path, monkeypatch):
