@@ -12,6 +12,7 @@ from ..operators import metrics, retrieval
 from ..operators.graph import ensure_checkpoint_dir
 from ..plans import rerankers
 from ..sources.index import KeywordIndex
+from ..sources.vectors import VectorIndex
 from . import Registry, load
 
 R = Registry()
@@ -71,12 +72,26 @@ def vector_topk(spark, d):
     return retrieval.vector_top_k(v, q, 20, "vec_id").select("id", F.round("score", 6).alias("score"))
 
 
-@R.add("vector_topk_batch", f"SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
+_NEAREST = f"SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10"
+
+
+@R.add("vector_topk_batch", _NEAREST)
 def vector_topk_batch(spark, d):
     v = load(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     return retrieval.vector_top_k_batch(v, v.filter("id % 20 = 0").withColumnRenamed("id", "qid"), 10, digits=6)
 
 
+@R.add("vector_index_topk", _NEAREST)
+def vector_index_topk(spark, d):
+    """From a stored index of all vectors, two thirds of them added after it was built."""
+    v = load(spark, d, "embeddings").withColumnRenamed("vec_id", "id").select("id", "embedding")
+    ensure_checkpoint_dir(v)
+    index = VectorIndex(spark, f"{spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}")
+    index.build(v.filter("id % 3 = 0"))
+    index.add(v.filter("id % 3 <> 0"))
+    return index.top_k(v.filter("id % 20 = 0").withColumnRenamed("id", "qid"), 10, 6)
+
+
 @R.add("rrf_fuse", f"{_RRF} SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 40")
 def rrf_fuse(spark, d):
     v, c = corpus(spark, d)

@@ -8,8 +8,10 @@ versions stay, for readers that have begun.
 
 from __future__ import annotations
 
+import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,16 @@ class Versioned:
         return sorted(int(n) for n in list_names(self.spark, f"{self.path}/versions") if n.isdigit())
 
     def _data(self, number: int) -> str:
-        return self.spark.read.text(f"{self.path}/versions/{number}").first()[0]
+        return self._lines(number)[0]
+
+    def _lines(self, number: int) -> list[str]:
+        return self.spark.read.text(f"{self.path}/versions/{number}", wholetext=True).first()[0].split("\n")
+
+    def marks(self) -> dict[str, int]:
+        """What writers have noted in the version that was read last, or in the current one."""
+        number = max(self._numbers(), default=0) if self._seen is None else self._seen
+        lines = self._lines(number) if number else []
+        return json.loads(lines[1]) if len(lines) > 1 else {}
 
     def exists(self) -> bool:
         return bool(self._numbers())
@@ -57,8 +68,9 @@ class Versioned:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).format(self.format).load(f"{self.path}/{self._data(self._seen)}")
 
-    def replace(self, df: DataFrame) -> None:
-        """Raises Conflict, and changes nothing, if the table is not the one that was read."""
+    def replace(self, df: DataFrame, marks: dict[str, int] | None = None) -> None:
+        """Raises Conflict, and changes nothing, if the table is not the one that was read. ``marks`` are noted with the version; earlier ones stay."""
+        noted = self.marks() | (marks or {})
         number = (max(self._numbers(), default=0) if self._seen is None else self._seen) + 1
         name = f"v-{uuid.uuid4().hex}"
         df.write.format(self.format).save(f"{self.path}/{name}")
@@ -69,7 +81,7 @@ class Versioned:
         except Exception as e:
             fs.delete(path(name), True)
             raise Conflict(f"{self.path}: version {number} is there already") from e
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(f"{name}\n{json.dumps(noted)}".encode()))
         out.close()
         self._seen = number
         for old in self._numbers():
@@ -92,7 +104,7 @@ class Corpus:
     def chunks(self) -> DataFrame:
         return self.table.read()
 
-    def ingest(self, docs: DataFrame, settings, embed) -> dict[str, int]:
+    def ingest(self, docs: DataFrame, settings, embed, marks: dict[str, int] | None = None) -> dict[str, int]:
         """Chunks, embeds and stores documents (source, text); chunks of these sources are replaced, also by none."""
         from ..operators.chunking import chunk
 
@@ -107,7 +119,7 @@ class Corpus:
         made = parts.mapInPandas(vectors, "source string, chunk_index int, content string, embedding array<float>")
         made = made.withColumn("id", F.xxhash64("source", "chunk_index")).withColumn("created_at", F.current_timestamp())
         old = self.chunks()
-        self.table.replace(replace_by_key(old, made, docs.select("source")))
+        self.table.replace(replace_by_key(old, made, docs.select("source")), marks)
         here = self.chunks().join(F.broadcast(docs.select("source").distinct()), "source", "left_semi") if docs.count() <= 100_000 else self.chunks().join(docs.select("source").distinct(), "source", "left_semi")
         r = here.agg(F.countDistinct("source").alias("d"), F.count("*").alias("c")).first()
         return {"documents": r.d, "chunks": r.c}
@@ -149,8 +161,18 @@ class GraphStore:
     def save(self, entities: DataFrame, relationships: DataFrame, communities: DataFrame, embed=None) -> None:
         """Stores the tables; summaries without an embedding get one where there is an embedder."""
         if embed is not None:
-            vector = F.udf(lambda s: [float(x) for x in embed([s])[0]] if s else None, "array<double>")
-            communities = communities.withColumn("embedding", F.when(F.coalesce(F.size("embedding"), F.lit(0)) > 0, F.col("embedding")).otherwise(vector("summary")))
+
+            def embedded(batches):
+                for pdf in batches:
+                    lacks = [i for i, (s, v) in enumerate(zip(pdf.summary, pdf.embedding, strict=True)) if s and (v is None or not len(v))]
+                    vectors = list(pdf.embedding)
+                    for i, v in zip(lacks, embed([pdf.summary.iloc[i] for i in lacks]) if lacks else [], strict=True):
+                        vectors[i] = [float(x) for x in v]
+                    yield pdf.assign(embedding=pd.Series(vectors, index=pdf.index, dtype=object))
+
+            names = [f.split()[0] for f in self.SCHEMAS["communities"].split(", ")]
+            typed = communities.withColumns({"id": F.col("id").cast("int"), "embedding": F.col("embedding").cast("array<double>")})
+            communities = typed.select(*names).mapInPandas(embedded, self.SCHEMAS["communities"])
         for n, df in (("entities", entities), ("relationships", relationships), ("communities", communities)):
             t = self.tables[n]
             t.replace(df.select(*[F.col(f.name).cast(f.dataType) for f in df.sparkSession.createDataFrame([], t.schema).schema]))

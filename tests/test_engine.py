@@ -130,3 +130,33 @@ def test_stream(spark, folder, tmp_path):
     q = ingest.start_ingest(ingest.watch_directory(spark, folder).filter("source like '%.md'"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_stream_keeps_files_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("one\ntwo\n")
+    ingest.start_ingest(ingest.watch_directory(spark, str(tmp_path / "in")), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination(120)
+    assert [r.content for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["one two"]
+
+
+def test_stream_replaces(spark, tmp_path):
+    """A later version of a file takes the place of the earlier one, an empty one deletes it, and a batch that comes again changes nothing."""
+    corpus, drops = store.Corpus(spark, f"{tmp_path}/chunks"), tmp_path / "drops"
+
+    def drop(day, **files):
+        (drops / day).mkdir(parents=True, exist_ok=True)
+        for n, t in files.items():
+            (drops / day / f"{n}.md").write_text(t)
+        ingest.start_upsert(ingest.watch_versions(spark, str(drops)), corpus, f"{tmp_path}/checkpoint", Settings(chunk_size=2, chunk_overlap=0), make("local").embed).awaitTermination(120)
+        return {(r.source, r.chunk_index): r.content for r in corpus.chunks().collect()}
+
+    assert drop("one", a="a\nb c", b="x") == {("a.md", 0): "a b", ("a.md", 1): "c", ("b.md", 0): "x"}
+    assert drop("two", a="d") == {("a.md", 0): "d", ("b.md", 0): "x"}
+    assert drop("three", b=" ") == {("a.md", 0): "d"}
+    number = corpus.table.marks()["documents"]
+    again = spark.createDataFrame([("a.md", "e", 1)], "source string, text string, modified int")
+    assert not ingest.upsert(corpus, again, number, "documents", Settings(), make("local").embed) and corpus.chunks().first().content == "d"
+    two = spark.createDataFrame([("a.md", "e", 1), ("a.md", "f", 2)], "source string, text string, modified int")
+    assert ingest.upsert(corpus, two, number + 1, "documents", Settings(), make("local").embed) and corpus.chunks().first().content == "f"
+    corpus.delete("a.md")
+    assert corpus.table.marks() == {"documents": number + 1}
