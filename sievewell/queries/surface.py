@@ -79,7 +79,7 @@ add("sql_except_all", "SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partke
 add("sql_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 add("sql_correlated", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity > (SELECT 1.5 * avg(l_quantity) FROM lineitem i WHERE i.l_suppkey = l.l_suppkey)")
 add("sql_derived_cte", "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), m AS (SELECT max(s) AS m FROM t) SELECT o_custkey, round(s, 2) AS s FROM t JOIN m ON s >= m * 0.5")
-add("sql_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 15) SELECT n, f FROM r")
+add("sql_recursive", "WITH RECURSIVE r(id, root, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p.p_partkey, r.root, r.depth + 1 FROM r JOIN part p ON p.p_partkey = r.id * 3) SELECT id, root, depth FROM r")
 add(
     "sql_string",
     "SELECT c_custkey, upper(c_name) AS up, substr(c_name, 3, 5) AS part, replace(c_name, '0', 'o') AS rep, CAST(instr(c_name, '#') AS INTEGER) AS at, CAST(length(c_name) AS INTEGER) AS len, trim('  x ') || '-' || c_mktsegment AS cat, regexp_replace(c_name, '[0-9]+', 'N') AS digits, lpad(CAST(c_custkey AS STRING), 8, '0') AS padded FROM customer",
