@@ -65,3 +65,20 @@ def test_communities_ranked_and_rebuilt(spark):
     live = spark.createDataFrame([("x",)], "source string")
     assert sorted(r.id for r in graph.rebuild(c, live).collect()) == [0, 2]
     assert [r.source for r in graph.stale_sources(c, live).collect()] == ["y"]
+
+
+def test_joins_of_rounds_are_not_broadcast(spark, monkeypatch):
+    """The tables are small enough for adaptive execution to broadcast them, which it would also do with compressed large ones."""
+    kind, plans = type(spark.range(1)), []
+    run = kind.checkpoint
+
+    def checkpoint(self, *args):
+        out = run(self, *args)
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    edges = spark.range(40).selectExpr("id AS a", "id - id % 5 AS b")
+    assert {(r.id, r.community) for r in graph.label_propagation(edges).collect()} == {(i, i - i % 5) for i in range(40)}
+    assert {(r.id, r.component) for r in graph.components(edges).collect()} == {(i, i - i % 5) for i in range(40)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
