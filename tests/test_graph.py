@@ -1,9 +1,11 @@
+import collections
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievewell.operators import graph
+from sievewell.queries import surface
 
 
 def test_merge_and_edges(spark):
@@ -82,3 +84,16 @@ def test_joins_of_rounds_are_not_broadcast(spark, monkeypatch):
     assert {(r.id, r.community) for r in graph.label_propagation(edges).collect()} == {(i, i - i % 5) for i in range(40)}
     assert {(r.id, r.component) for r in graph.components(edges).collect()} == {(i, i - i % 5) for i in range(40)}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_recursion_beyond_the_row_limit(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in [*range(1, 30), 9, 18]], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    want = collections.Counter(map(tuple, surface.run(spark, str(tmp_path), surface.R.sql["sql_recursive"]).collect()))
+    assert want[9, 1, 2] == 2 and want[27, 1, 3] == 2
+    limit = "spark.sql.cteRecursionRowLimit"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "20")
+    try:
+        assert collections.Counter(map(tuple, surface.R.queries["sql_recursive"](spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.set(limit, was)
