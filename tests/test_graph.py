@@ -97,3 +97,13 @@ def test_recursion_beyond_the_row_limit(spark, tmp_path):
         assert collections.Counter(map(tuple, surface.R.queries["sql_recursive"](spark, str(tmp_path)).collect())) == want
     finally:
         spark.conf.set(limit, was)
+
+
+def test_modularity_by_component_is_that_of_the_whole(spark, monkeypatch):
+    """The components together have more edges than one may have."""
+    rnd = random.Random(5)
+    pairs = [(100 * c + rnd.randrange(30 - c), 100 * c + rnd.randrange(30 - c)) for c in range(6) for _ in range(45)] + [(3, 3), (901, 900), (900, 901)]
+    want = [(i, x) for i, c in enumerate(graph.greedy_modularity(pairs)) for x in c]
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 50)
+    df = spark.createDataFrame([("%04d" % a, "%04d" % b) for a, b in pairs], "a string, b string")
+    assert sorted(map(tuple, graph.communities(df).collect())) == sorted((i, "%04d" % x) for i, x in want)
