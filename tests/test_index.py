@@ -56,3 +56,25 @@ def test_reads_less(spark, tmp_path):
     entries, _ = index._entries(questions.limit(1), index.commits())
     shown = entries._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in shown or "bucket#" in shown.split("PartitionFilters:")[1][:60]
+
+
+def test_blocks_follow_documents(spark, tmp_path):
+    index = KeywordIndex(spark, str(tmp_path), 4, 2)
+    docs = spark.range(20000).selectExpr("id", "'a' AS source", "concat('x y', id % 50, repeat(' z', cast(id % 7 AS int))) AS content")
+    index.update(docs)
+    entries = index._table("postings", index.postings_schema, index.commits())
+    assert entries.filter("term = 'x'").count() == 20000 // module.BLOCK_DOCS  # not 2, whose size grows with the table
+    assert entries.filter("term = 'x'").agg(F.sum(F.size("found"))).first()[0] == 20000
+    questions = spark.createDataFrame([(1, "x z"), (2, "y7 z"), (3, "y49")], "qid int, query string")
+    assert rows(index.top_k(questions, 20)) == rows(retrieval.keyword_top_k(docs, questions, 20))
+
+
+def test_id_in_two_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "PROBE", 1)
+    index = KeywordIndex(spark, str(tmp_path), 4, 4)
+    a = spark.createDataFrame([(i, "a", "x " * (6 if i == 1 else 4)) for i in range(1, 3)], "id bigint, source string, content string")
+    b = spark.createDataFrame([(2, "b", "x x x x")], "id bigint, source string, content string")
+    index.update(a)
+    index.update(b)
+    questions = spark.createDataFrame([(1, "x")], "qid int, query string")
+    assert rows(index.top_k(questions, 1)) == rows(retrieval.keyword_top_k(a.unionByName(b), questions, 1)) == [(1, 2, 0.8, 1)]
