@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sievewell.operators import metrics, retrieval
@@ -54,3 +56,23 @@ def test_result_match(spark):
     assert metrics.rows_match([(1, "a"), (2.00001, None)], [(2, None), (1, "a")]) and not metrics.rows_match([(1,)], [(2,)]) and not metrics.rows_match([(1,)], [])
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "n int, s string")
     assert metrics.same_rows(a, a.orderBy(F.desc("n"))) and not metrics.same_rows(a, a.distinct())
+
+
+def test_nearest_in_bounded_memory():
+    rnd = np.random.default_rng(5)
+    v, q = rnd.integers(-2, 3, (2000, 6)).astype(float), rnd.integers(-2, 3, (4096, 6)).astype(float)
+    v[7] = 0
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    ids = [f"d{(i * 7) % 2000}" for i in range(2000)]
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.string()), ("score", pa.float64())])
+    batches = [pa.record_batch([pa.array(ids[i : i + 1000]), pa.array(list(v[i : i + 1000]))], ["id", "v"]) for i in (0, 1000)]
+    tracemalloc.start()
+    found = [x for b in retrieval.nearest(iter(batches), list(range(4096)), unit(q), 10, 6, schema) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = {}
+    for x in found:
+        got.setdefault(x["qid"], []).append((-x["score"], x["id"]))
+    scores = np.round(unit(q)[:50] @ unit(v).T, 6) + 0.0
+    assert len(got) == 4096 and all(sorted(got[i]) == sorted(zip((-scores[i]).tolist(), ids, strict=True))[:10] for i in range(50))
+    assert peak < 60e6, peak  # all scores of a batch at once take 32 MB, and were copied three times
