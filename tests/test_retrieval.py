@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievewell.operators import metrics, retrieval
 from sievewell.plans import rerankers
+from sievewell.queries import retrieval as queries
 
 
 def test_vector_batch_is_exact(spark):
@@ -76,3 +77,8 @@ def test_nearest_in_bounded_memory():
     scores = np.round(unit(q)[:50] @ unit(v).T, 6) + 0.0
     assert len(got) == 4096 and all(sorted(got[i]) == sorted(zip((-scores[i]).tolist(), ids, strict=True))[:10] for i in range(50))
     assert peak < 60e6, peak  # all scores of a batch at once take 32 MB, and were copied three times
+
+
+def test_config_compare_searches_once(spark):
+    shown = queries.config_compare(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("MapInArrow") == 1
